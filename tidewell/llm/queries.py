@@ -8,11 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import held_out
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    from tidewell.llm.topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     from tidewell.llm.token_files import read_token_files, write_token_files
@@ -49,6 +58,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame):
+    """Fitted on labelled documents outside the held-out fold; fold 4 sets the weights."""
+    from tidewell.llm.toxicity import fit_toxicity
+
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    named = labels.where(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    rows = docs.where(fold != 0).select("doc_id", "text").join(named, "doc_id")
+    return fit_toxicity(rows, fold=fold == 4)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    from tidewell.llm.toxicity import toxicity_scores
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, docs, _table(spark, sf_dir, "labels"))
+    return toxicity_scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents."""
     from tidewell.llm.exact_dedup import exact_dedup
@@ -58,12 +86,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op10_exact_dedup)
+    f.__name__: f for f in (op1_top_k, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup)
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+            from embeddings where embedding is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id,
+                   list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
     "op10_exact_dedup": f"""
         with d as (select doc_id, sha256({_NORMAL}) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
