@@ -22,6 +22,31 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: the patterns' counts and digest, and all spans."""
+    from tidewell.llm.secret_scan import fit_secrets, scan_secrets
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, fit_secrets(docs))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("crf").alias("n_crf"),
+        F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned outside the held-out fold."""
+    from tidewell.llm.langid import fit_languages, predict_languages
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"))
+    model = fit_languages(docs.where(~out))
+    return predict_languages(docs.select("doc_id", out.alias("held_out"), "text"), model)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     from tidewell.llm.token_files import read_token_files, write_token_files
@@ -86,7 +111,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup)
+    f.__name__: f for f in (op1_top_k, op2_secrets, op3_language, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup)
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
