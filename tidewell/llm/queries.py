@@ -47,6 +47,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs.select("doc_id", out.alias("held_out"), "text"), model)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that an earlier line matches by four fifths of their words."""
+    from tidewell.llm.line_dedup import line_report
+
+    found = line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     from tidewell.llm.token_files import read_token_files, write_token_files
@@ -111,7 +119,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_secrets, op3_language, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup)
+    f.__name__: f for f in (op1_top_k, op2_secrets, op3_language, op4_line_dedup, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup)
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

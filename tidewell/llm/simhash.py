@@ -181,5 +181,5 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     Rows that repeat this key in one component all stay.
     """
-    first = simhash_groups(docs, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    return docs.join(first, docs[key] == first["_first"], "left_semi")
+    first = simhash_groups(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
+    return docs.join(first, docs[key].eqNullSafe(first["_first"]), "left_semi")
