@@ -1,21 +1,21 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
 A line is the set of its words.  Words are put in one order for all lines, rarest
-first: 8,192 buckets of their hash are counted over the whole table and give each
+first: 4,096 buckets of their hash are counted over the whole table and give each
 word a frequency class; within a class longer words, which are rarer, come first,
 and the hash settles the rest.  A word's 64-bit sort key also stands for the word.
-Two sets of n and m tokens with Jaccard similarity of num/den or more share at least
-``need`` = num (n + m) / (num + den) tokens, so
+Two sets of n and m words with Jaccard similarity of num/den or more share at least
+``need`` = num (n + m) / (num + den) words, so
 
-- the rarest n - ceil(num n / den) + 1 tokens of each share one (prefix filter);
-- from a shared token at places i and j on, enough are left: min(n - i, m - j) >= need
+- the rarest n - ceil(num n / den) + 1 words of each share one (prefix filter);
+- from a shared word at places i and j on, enough are left: min(n - i, m - j) >= need
   (positional filter), which also bounds the lengths (length filter);
 - the 64-bit sketches of the two sets differ in n + m - 2 need bits at most.
 
 What passes is verified on the full sets.  A line goes if an earlier line, by
 (document, line number), is that similar, whether or not that line stays itself.
 
-Lines of one set are one row of the join.  Within the lines that share a token, each
+Lines of one set are one row of the join.  Within the lines that share a word, each
 is first held against the first of them and the two before it, which settles most
 members of a large group of near copies by a number of pairs that grows with the
 lines alone; only lines not settled so meet all earlier ones.
@@ -27,74 +27,63 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from tidewell.llm.common import UPPER, cut
+from tidewell.llm.common import UPPER, cut, shuffle_partitions
 
-BLANK = r"[\x20\x09-\x0D]+"
+BLANKS = "\t\x0b\x0c\r"
 #: Words are counted in 2 ** BITS buckets of their hash.
-BITS = 13
+BITS = 12
 LOW = (1 << 56) - 1
 #: Positions that are sent to every task; beyond this the rows are shuffled to them.
 BROADCAST_ROWS = 400_000
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, line_no (from 0) and the distinct words of each line that has words."""
-    lowered = F.translate(F.col(text), UPPER, UPPER.lower())
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(lowered, "\n")).alias("line_no", "line"))
-    words = F.filter(F.array_distinct(F.split("line", BLANK)), lambda w: w != "")
-    return lines.select("doc_id", "line_no", words.alias("words")).where(F.size("words") > 0)
+def _text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, line_no (from 0) and line, A-Z lower-cased and other blanks made spaces."""
+    plain = F.translate(F.col(text), UPPER + BLANKS, UPPER.lower() + " " * len(BLANKS))
+    return docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
 
 
-def _bucket(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 64 - BITS).cast("int")
-
-
-def _classes(lines: DataFrame) -> bytes:
-    """The frequency class of each bucket, 0 (rare) to 15, a byte each: 8,192 bytes however large the table."""
-    buckets = lines.select(F.explode(F.transform("words", _bucket)).alias("bucket"))
+def _classes(docs: DataFrame, text: str) -> Column:
+    """The frequency class of each bucket of words, 0 (rare) to 15: 4,096 numbers however large the table."""
+    plain = F.translate(F.col(text), UPPER + BLANKS + "\n", UPPER.lower() + " " * 5)
+    words = docs.select(F.explode(F.split(plain, " ")).alias("word")).where("word <> ''")
+    buckets = words.select(F.shiftrightunsigned(F.xxhash64("word"), 64 - BITS).cast("int").alias("bucket"))
     counts = dict(cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))).collect())
     usual = sum(counts.values()) / (1 << BITS) + 1
-    return bytes(min(15, max(0, 4 + round(2 * math.log2((counts.get(b, 0) + 1) / usual)))) for b in range(1 << BITS))
+    found = (min(15, max(0, 4 + round(2 * math.log2((counts.get(b, 0) + 1) / usual)))) for b in range(1 << BITS))
+    return F.split(F.lit(",".join(str(16 * c) for c in found)), ",").cast("array<int>")  # folded to one constant
 
 
-def _sets(lines: DataFrame, classes: bytes) -> DataFrame:
-    """Add keys (sorted sort keys), n, and two hashes s1, s2 of the set."""
+def _keys(line: Column, classes: Column) -> Column:
+    """The sorted sort keys of a line's distinct words; each stands for its word."""
 
     def key(word: Column) -> Column:
-        rarity = F.ascii(F.substring(F.lit(classes), _bucket(word) + 1, F.lit(1)).cast("string")) - 8
-        short = 15 - F.least(F.length(word), F.lit(15))
-        return F.shiftleft((rarity * 16 + short).cast("long"), 56).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit(LOW)))
+        h = F.xxhash64(word)
+        rarity = F.get(classes, F.shiftrightunsigned(h, 64 - BITS).cast("int")) + 15 - F.least(F.length(word), F.lit(15)) - 128
+        return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
 
-    keyed = lines.select("doc_id", "line_no", F.array_sort(F.transform("words", key)).alias("keys"))
-    return keyed.withColumns({"n": F.size("keys"), "s1": F.xxhash64("keys"), "s2": F.xxhash64(F.lit(1), "keys")})
+    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
 
 
 def _close(n: Column, i: Column, b: Column, m: Column, j: Column, c: Column, num: int, den: int) -> Column:
     """Whether two postings (size, place, sketch) pass the positional, length and sketch filters."""
-    need = F.ceil((n + m) * num / (num + den) - 1e-9)
+    need = F.floor(((n + m) * num + num + den - 1) / F.lit(num + den))
     return (F.least(n - i, m - j) >= need) & (F.bit_count(b.bitwiseXOR(c)) <= n + m - 2 * need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Positions (doc_id, line_no) of lines that really match their earlier line.
-
-    ``pairs`` holds doc_id, line_no, e_doc, e_line; ``sets`` has the keys of all lines.
-    """
+def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, classes: Column, num: int, den: int) -> DataFrame:
+    """The later ``sid`` of the pairs (sid, e) that really are similar; words are read again for their lines only."""
     pairs = cut(pairs.distinct())
-    used = cut(pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("e_doc").alias("doc_id"), F.col("e_line").alias("line_no"))).distinct())
+    used = pairs.select("sid").unionByName(pairs.select(F.col("e").alias("sid"))).distinct()
+    used = cut(sets.select("sid", "doc_id", "line_no").join(used, "sid", "left_semi"))
     wanted = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used
-    keys = cut(sets.select("doc_id", "line_no", "keys").join(wanted, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"]))
-    earlier = keys.select(F.col("doc_id").alias("e_doc"), F.col("line_no").alias("e_line"), F.col("keys").alias("e_keys"))
-    both = pairs.join(keys, ["doc_id", "line_no"]).join(earlier, ["e_doc", "e_line"])
-    shared = F.size(F.array_intersect("keys", "e_keys"))
-    similar = shared * (num + den) >= num * (F.size("keys") + F.size("e_keys"))
-    return both.where(similar).select("doc_id", "line_no").distinct()
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    small = gone.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(gone) if small else gone, ["doc_id", "line_no"], "left_anti")
+    keys = cut(lines.join(wanted, ["doc_id", "line_no"]).dropDuplicates(["sid"]).select("sid", _keys(F.col("line"), classes).alias("keys")))
+    earlier = keys.select(F.col("sid").alias("e"), F.col("keys").alias("e_keys"))
+    both = pairs.join(keys, "sid").join(earlier, "e")
+    similar = F.size(F.array_intersect("keys", "e_keys")) * (num + den) >= num * (F.size("keys") + F.size("e_keys"))
+    return both.where(similar).select("sid").distinct()
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
@@ -105,36 +94,55 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num:
     but the first go.  Null texts have no lines; null keys sort before others.  Rows
     that repeat a key and text are one document.  An empty table gives no rows.
     """
-    lines = _lines(docs, key, text)
-    sets = _sets(lines, _classes(lines))
-    prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * num / den - 1e-9).cast("int") + 1)
+    spark, classes, lines = docs.sparkSession, _classes(docs, text), _text_lines(docs, key, text)
+    parts = shuffle_partitions(spark)
+    keyed = lines.select("doc_id", "line_no", _keys(F.col("line"), classes).alias("keys")).where(F.size("keys") > 0)
+    n = F.size("keys")
+    prefix = F.slice("keys", 1, n - F.floor((n * num + den - 1) / F.lit(den)).cast("int") + 1).cast("array<long>")
     sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    placed = sets.select("doc_id", "line_no", "s1", "s2", "n", F.struct(prefix.alias("prefix"), sketch.alias("sketch")).alias("what"))
-    first = F.struct("doc_id", "line_no")
-    classes = cut(placed.groupBy("s1", "s2").agg(F.min(first).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("what").alias("what")))
+    tokens = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    placed = cut(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), sketch.alias("b"), tokens.alias("tokens")))
+    # one row per set, numbered in the order of first positions
+    firsts = placed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "n", "b", "tokens")).alias("at"), F.count(F.lit(1)).alias("copies")).select("s1", "s2", "copies", "at.*")
+    sets = cut(firsts.repartitionByRange(parts, "doc_id", "line_no", "s1").sortWithinPartitions("doc_id", "line_no", "s1")).withColumn("sid", F.monotonically_increasing_id())
     # a set below this size has no partner but itself
-    joinable = classes.where(F.col("n") * den >= num * (F.col("n") + 1))
-    postings = joinable.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", F.col("what.sketch").alias("b"), F.posexplode("what.prefix").alias("i", "token"))
-    dealt = postings.repartition("token")
-    order = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    row = F.struct("doc_id", "line_no", "n", "i", "b")
+    joinable = sets.where(F.col("n") * den >= num * (F.col("n") + 1))
+    postings = joinable.select("sid", "n", "b", F.posexplode("tokens").alias("i", "token"))
+    size = F.shiftleft(F.least("i", F.lit(1 << 20)).cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    dealt = postings.select("token", "sid", "b", size.alias("at")).repartition(parts, "token").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _removed(dealt, sets, placed, lines, classes, num, den).select(F.col("doc_id").alias(key), "line_no")
+    finally:
+        dealt.unpersist()
+
+
+def _split(at: Column) -> tuple[Column, Column]:
+    return at.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(at, 32)
+
+
+def _removed(dealt: DataFrame, sets: DataFrame, placed: DataFrame, lines: DataFrame, classes: Column, num: int, den: int) -> DataFrame:
+    order = Window.partitionBy("token").orderBy("sid")
+    row = F.struct("sid", "b", "at")
     some = dealt.withColumns({"e0": F.first(row).over(order), "e1": F.lag(row, 1).over(order), "e2": F.lag(row, 2).over(order)})
-    some = some.withColumn("e", F.explode(F.array("e0", "e1", "e2")))
-    later = ~F.col("e.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("e.line_no") < F.col("line_no"))
-    near = _close(F.col("n"), F.col("i"), F.col("b"), F.col("e.n"), F.col("e.i"), F.col("e.b"), num, den)
-    pairs = some.where(F.col("e").isNotNull() & later & near).select("doc_id", "line_no", F.col("e.doc_id").alias("e_doc"), F.col("e.line_no").alias("e_line"))
-    settled = cut(_verified(pairs, sets, num, den))
-    open_, all_ = _without(dealt, settled), dealt.select(*(F.col(c).alias(f"e_{c}") for c in ("doc_id", "line_no", "n", "i", "b", "token")))
-    before = (F.col("e_doc_id") < F.col("doc_id")) | (F.col("e_doc_id") == F.col("doc_id")) & (F.col("e_line_no") < F.col("line_no"))
-    near = _close(F.col("n"), F.col("i"), F.col("b"), F.col("e_n"), F.col("e_i"), F.col("e_b"), num, den)
-    rest = open_.join(all_, (F.col("token") == F.col("e_token")) & before & near).select("doc_id", "line_no", F.col("e_doc_id").alias("e_doc"), F.col("e_line_no").alias("e_line"))
-    matched = cut(settled.unionByName(_verified(rest, sets, num, den)).distinct())
-    gone = matched.withColumn("gone", F.lit(True))
-    at = classes.select("s1", "s2", "copies", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
-    judged = at.join(gone, ["doc_id", "line_no"], "left").where("copies > 1 or gone").select("s1", "s2", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    named = sets.select("doc_id", "line_no", "s1", "s2").join(judged, ["s1", "s2"])
+    own = _split(F.col("at"))
+
+    def close(e: str) -> Column:
+        n, i = _split(F.col(f"{e}.at"))
+        return (F.col(f"{e}.sid") < F.col("sid")) & _close(*own, F.col("b"), n, i, F.col(f"{e}.b"), num, den)
+
+    near = F.array_compact(F.array(*(F.when(close(e), F.col(f"{e}.sid")) for e in ("e0", "e1", "e2"))))
+    pairs = some.select("sid", F.explode(near).alias("e"))
+    settled = cut(_verified(pairs, sets, lines, classes, num, den))
+    known = F.broadcast(settled) if settled.count() <= BROADCAST_ROWS else settled
+    other = dealt.select(F.col("token").alias("e_token"), F.col("sid").alias("e"), F.col("b").alias("e_b"), F.col("at").alias("e_at"))
+    n, i = _split(F.col("e_at"))
+    near = _close(*own, F.col("b"), n, i, F.col("e_b"), num, den)
+    rest = dealt.join(known, "sid", "left_anti").join(other, (F.col("token") == F.col("e_token")) & (F.col("e") < F.col("sid")) & near).select("sid", "e")
+    gone = cut(settled.unionByName(_verified(rest, sets, lines, classes, num, den)).distinct()).withColumn("gone", F.lit(True))
+    judged = sets.join(gone, "sid", "left").where("copies > 1 or gone").select("s1", "s2", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    named = placed.select("doc_id", "line_no", "s1", "s2").join(judged, ["s1", "s2"])
     stays = ~F.col("gone") & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("line_no") == F.col("f_line"))
-    return named.where(~stays).select(F.col("doc_id").alias(key), "line_no").distinct()
+    return named.where(~stays).select("doc_id", "line_no").distinct()
 
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
