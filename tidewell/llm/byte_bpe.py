@@ -20,11 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import HashIndex, by_chars, text_list
+from tidewell.llm.common import HashIndex, TwoGenerations, by_chars, once, text_list
 
 PAD = (1 << 20) - 1
 NEVER = np.int32(1 << 30)
-#: Pieces in each of the two generations of the cache.
+#: Pieces in each half of the cache.
 CACHE = 300_000
 #: Longer pieces merge by a heap: rounds take time by the square of the length.
 LONG = 256
@@ -76,8 +76,7 @@ class ByteBpe:
         self.pairs = HashIndex(np.fromiter(pairs, dtype=np.int64, count=len(pairs)))
         self.merged = np.append(np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs)), NEVER)  # at -1: no such pair
         self.pair_rank = pairs
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache = TwoGenerations(CACHE)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return self.merged[self.pairs.find((left.astype(np.int64) << 20) | right)]
@@ -152,12 +151,7 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; each match of the pattern is encoded by itself."""
         matches = [(self.pattern if self.plain is None or BEYOND.search(t) else self.plain).findall(t) for t in texts]
-        met = set(chain.from_iterable(matches))
-        if len(self.cache) > CACHE:
-            self.cache, self.older = {}, self.cache
-        met.difference_update(self.cache)
-        self.cache.update((p, self.older[p]) for p in met.intersection(self.older))
-        new = list(met.difference(self.older))
+        new = self.cache.missing(set(chain.from_iterable(matches)))
         self.cache.update(zip(new, self.encode_pieces([p.encode() for p in new])))
         return [b"".join(map(self.cache.__getitem__, m)) for m in matches]
 
@@ -167,7 +161,7 @@ class ByteBpe:
 
 def _encoder(ranks, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(ranks.value, pattern)
+        bpe = once(ByteBpe, ranks.value, pattern)
         for batch in batches:
             texts = text_list(batch.column(batch.num_columns - 1))
             for a, b in by_chars(texts):

@@ -75,6 +75,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_MADE: dict = {}
+
+
+def once(kind, *arguments):
+    """``kind(*arguments)``, made once per process and kept: workers run many tasks."""
+    key = (kind, *(hash(a) for a in arguments))
+    if key not in _MADE:
+        if len(_MADE) > 8:
+            _MADE.clear()
+        _MADE[key] = kind(*arguments)
+    return _MADE[key]
+
+
+class TwoGenerations(dict):
+    """A bounded cache: beyond ``size`` entries the older half is given up, unless met again."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys not held, after moving those met again from the older half."""
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        self.update((k, self.older[k]) for k in new.intersection(self.older))
+        return [k for k in new if k not in self]
+
+
 class HashIndex:
     """Non-negative int64 keys to their position, by open addressing in numpy arrays.
 

@@ -128,7 +128,8 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", s
     languages times BUCKETS.  Without any such row every prediction is ``und``.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    # a row per language, as many as the model has columns
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
     unit = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.join(sizes, "lang").where(unit * F.col("size") < float(sample_docs)).select("text", "lang")
     counted = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))

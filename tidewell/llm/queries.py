@@ -95,10 +95,8 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame):
     """Fitted on labelled documents outside the held-out fold; fold 4 sets the weights."""
     from tidewell.llm.toxicity import fit_toxicity
 
-    fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    named = labels.where(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = docs.where(fold != 0).select("doc_id", "text").join(named, "doc_id")
-    return fit_toxicity(rows, fold=fold == 4)
+    learned = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    return fit_toxicity(docs, learned, F.crc32(F.col("_key").cast("string")) % 5 == 4)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

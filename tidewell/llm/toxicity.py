@@ -14,13 +14,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import HashIndex, cut, text_list
+from tidewell.llm.common import HashIndex, TwoGenerations, cut, text_list
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -102,21 +103,15 @@ class KneserNey:
         return np.bincount(number, logs[1] - logs[0], len(words))
 
 
-class ChunkScores(dict):
+class ChunkScores:
     """The difference of each chunk between blanks, from a bounded cache."""
 
     def __init__(self, model: KneserNey):
-        super().__init__()
-        self.model, self.older = model, {}
+        self.model, self.held = model, TwoGenerations(CACHE)
 
     def learn(self, chunks: set[str]) -> None:
         """Score the chunks that are not held yet."""
-        if len(self) > CACHE:
-            self.older = dict(self)
-            self.clear()
-        new = chunks.difference(self)
-        self.update((c, self.older[c]) for c in new.intersection(self.older))
-        new = [c for c in new if c not in self]
+        new = self.held.missing(chunks)
         words, of = [], []
         for i, c in enumerate(new):
             found = LETTERS.findall(c)
@@ -126,7 +121,7 @@ class ChunkScores(dict):
             score = np.bincount(of, self.model.differences(words), len(new))
         else:
             score = np.zeros(len(new))
-        self.update(zip(new, score.tolist()))
+        self.held.update(zip(new, score.tolist()))
 
 
 def features(model_scores: ChunkScores, texts: list[str]) -> np.ndarray:
@@ -137,7 +132,7 @@ def features(model_scores: ChunkScores, texts: list[str]) -> np.ndarray:
         model_scores.learn(set().union(*chunks))
         for i, words in enumerate(chunks, start=a):
             if words:
-                s = np.fromiter(map(model_scores.__getitem__, words), float, len(words))
+                s = np.fromiter(map(model_scores.held.__getitem__, words), float, len(words))
                 top = -np.sort(-(np.partition(s, len(s) - TOP)[-TOP:] if len(s) > TOP else s))
                 out[i, 0] = s.mean()
                 out[i, 1 : 1 + len(top)] = top
@@ -152,6 +147,11 @@ class ToxicityModel:
     spread: np.ndarray
     weights: np.ndarray
 
+    @cached_property
+    def scores(self) -> ChunkScores:
+        """One cache for all tasks of a process."""
+        return ChunkScores(self.words)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.mean) / self.spread) @ self.weights[1:] + self.weights[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -189,23 +189,32 @@ def _feature_rows(model):
     return run
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "label", fold: Column | None = None, count_docs: int = COUNT_DOCS, weight_docs: int = WEIGHT_DOCS) -> ToxicityModel:
-    """Fit on rows with a label of 0 or 1 (others, null included, are ignored).
-
-    Of each class about ``count_docs`` documents, picked by a hash of their text,
-    give the n-gram counts and ``weight_docs`` others the logistic weights, so the
-    model's size and what reaches the driver are bounded.  With one class only,
-    every score is its rate; with no label at all it is 0.
-    """
-    spark = labelled.sparkSession
-    part = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), part.alias("u"), (fold if fold is not None else F.pmod(F.xxhash64(text), F.lit(4)) == 0).alias("weigh"))
+def _sample(labels: DataFrame, key: str, label: str, weigh: Column, count_docs: int, weight_docs: int) -> tuple[DataFrame, dict]:
+    """key, label and weigh of the picked labels, and the number of labels of each class."""
+    named = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    rows = named.withColumn("weigh", weigh)
     sizes = {(r["weigh"], r["label"]): r["n"] for r in rows.groupBy("weigh", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = lambda weigh, c, most: F.lit(min(1.0, most / max(1, sizes.get((weigh, c), 0))))
-    most = F.when(F.col("weigh"), F.when(F.col("label") == 1, share(True, 1, weight_docs)).otherwise(share(True, 0, weight_docs))).otherwise(
-        F.when(F.col("label") == 1, share(False, 1, count_docs)).otherwise(share(False, 0, count_docs))
-    )
-    sample = cut(rows.where(F.col("u") < most).select("text", "label", "weigh"))
+    share = F.lit(1.0)
+    for (w, c), n in sizes.items():
+        share = F.when((F.col("weigh") == w) & (F.col("label") == c), min(1.0, (weight_docs if w else count_docs) / n)).otherwise(share)
+    unit = F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
+    return rows.where(unit < share), {c: sum(n for (_, k), n in sizes.items() if k == c) for c in (0, 1)}
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, weigh: Column, key: str = "doc_id", text: str = "text", label: str = "label", count_docs: int = COUNT_DOCS, weight_docs: int = WEIGHT_DOCS) -> ToxicityModel:
+    """Fit on the documents that ``labels`` calls 0 or 1 (other labels, null included, are ignored).
+
+    Of each class about ``count_docs`` documents, picked by a hash of their key,
+    give the n-gram counts and ``weight_docs`` others the logistic weights; ``weigh``,
+    over the column ``_key``, says which labels may be among the latter.  So the
+    picked keys, which are sent to every task in place of moving any text, the
+    model and what reaches the driver are bounded.  A key labelled both ways counts
+    as 1.  With one class only, every score is its rate; without labels it is 0.
+    """
+    spark = docs.sparkSession
+    picked, known = _sample(labels, key, label, weigh, count_docs, weight_docs)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(cut(picked)), "_key")
+    sample = cut(rows.select("text", "label", "weigh"))
     words = sample.where("not weigh").select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(0))).alias("word"))
     counted = words.groupBy("word").agg(F.sum(1 - F.col("label")).alias("ordinary"), F.sum("label").alias("toxic"))
     grams = counted.mapInArrow(_gram_counts, "key long, ordinary long, toxic long").groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
@@ -216,7 +225,6 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "label",
     held = sample.where("weigh").select("text", "label").mapInArrow(_feature_rows(spark.sparkContext.broadcast(words_model)), "label int, x array<double>").toPandas()
     x, y = (np.array(held["x"].tolist()), held["label"].to_numpy(float)) if len(held) else (np.zeros((0, TOP + 2)), np.zeros(0))
     mean, spread, weights = np.zeros(TOP + 2), np.ones(TOP + 2), np.zeros(TOP + 3)
-    known = {c: sum(n for (_, k), n in sizes.items() if k == c) for c in (0, 1)}
     if len(set(y.tolist())) == 2:
         mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         weights = fit_logistic((x - mean) / spread, y)
@@ -229,7 +237,7 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "label",
 
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = ChunkScores(model.value.words)
+        scores = model.value.scores
         for batch in batches:
             score = model.value.score(features(scores, text_list(batch.column(batch.num_columns - 1))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
