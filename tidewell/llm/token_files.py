@@ -21,42 +21,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import by_chars, cut, shared_dir, shuffle_partitions, text_list
+from tidewell.llm.common import TwoGenerations, by_chars, cut, once, shared_dir, shuffle_partitions, text_list
 
-#: Chunks end at these characters; every tokenizer used here ends words there too.
-BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-CACHE = 300_000
+#: Chunks in each half of the cache, and chunks encoded at once.
+CACHE, BATCH = 400_000, 20_000
 MANIFEST = "part int, path string, width int, docs long, ids long"
 
 
-class ChunkEncoder(dict):
-    """Maps a chunk without blanks to the bytes of its ids, by a ``tokenizers`` tokenizer.
+class ChunkEncoder:
+    """Encodes texts chunk by chunk, a chunk being what stands between ASCII blanks.
 
     The tokenizer must treat white space as the end of a word and drop it; then the
-    ids of a text are those of its chunks in order.  Strings of special tokens
-    count as ordinary text.
+    ids of a text are those of its chunks in order, and chunks met before need no
+    second encoding.  New chunks are encoded as one text, and each token goes to the
+    chunk that its offset falls in.  Strings of special tokens are ordinary text.
     """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        found = np.array(ids, dtype=self.dtype).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, text.translate(BLANKS).split(" "))))
+        # a tokenizer that lower-cases gives A-Z and a-z the same ids
+        self.fold = '"type":"Lowercase"' in model.replace(" ", "")
+        self.cache = TwoGenerations(CACHE)
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode() for c in chunks]
+        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        raw = np.array(coded.ids, self.dtype).tobytes()
+        at = np.searchsorted(starts, [a for a, _ in coded.offsets], side="right") - 1
+        ends = (np.cumsum(np.bincount(at, minlength=len(chunks))) * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian."""
+        chunks = [(t.encode().lower() if self.fold else t.encode()).split() for t in texts]
+        new = self.cache.missing(set().union(*chunks))
+        for i in range(0, len(new), BATCH):
+            some = new[i : i + BATCH]
+            self.cache.update(zip(some, self._encode(some)))
+        return [b"".join(map(self.cache.__getitem__, c)) for c in chunks]
 
 
 def _open_fs(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -75,7 +83,7 @@ def _mapped(folder: str, path: str, dtype: str) -> np.ndarray:
 
 def _part_writer(model, folder: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encoder, fs_root = TaskContext.get(), ChunkEncoder(model.value), _open_fs(folder)
+        context, encoder, fs_root = TaskContext.get(), once(ChunkEncoder, model.value), _open_fs(folder)
         fs, root = fs_root
         part, end = context.partitionId(), np.array([end_id], encoder.dtype).tobytes()
         path = f"tokens-{part:06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -88,10 +96,9 @@ def _part_writer(model, folder: str, end_id: int):
                 keys = batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8")
                 for a, b in by_chars(texts):
                     ends = []
-                    for text in texts[a:b]:
-                        raw = encoder.ids(text) + end
-                        out.write(raw)
-                        offset += len(raw) // encoder.dtype.itemsize
+                    for raw in encoder.ids(texts[a:b]):
+                        out.write(raw + end)
+                        offset += len(raw) // encoder.dtype.itemsize + 1
                         ends.append(offset)
                     off.write(np.array(ends, "<u8").tobytes())
                 ids.write(keys.tobytes())
