@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, shuffle_partitions
+from tidewell.llm.common import cut
 
 BLOCK = 4096
 QUERIES = 512
@@ -197,14 +197,18 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     spark = df.sparkSession
     marked = df.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"), F.coalesce(is_query, F.lit(False)).alias("_query"))
     vectors = integer_vectors(marked, "_key", "_vector", scale)
-    dims = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
+    widest, rows = vectors.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    dims = max(1, widest or 1)
     length = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    ranged = vectors.withColumn("length", length).repartitionByRange(shuffle_partitions(spark), F.col("length").desc(), "id")
+    ranged = vectors.withColumn("length", length).repartitionByRange(max(1, -(-rows // BLOCK)), F.col("length").desc(), "id")
     blocks = cut(_blocks(ranged.sortWithinPartitions(F.col("length").desc(), "id"), dims, BLOCK))
     if not blocks.take(1):
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, score long")
     rotation = _rotation(blocks, dims)
     queries = cut(integer_vectors(marked.where("_query"), "_key", "_vector", scale).groupBy("id").agg(F.min("v").alias("v")))
+    # full query blocks: the pairs that follow are as few as they can be
+    parts = max(1, -(-queries.count() // QUERIES))
+    queries = queries.coalesce(parts)
     search = _searcher(dims, rotation, k)
     data = ["ids", "data", "q_ids", "q_data", "q_least"]
     # one block of the longest vectors gives each query a first bound
@@ -212,7 +216,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     plain = queries.withColumn("least", F.lit(None).cast("double")).mapInArrow(_with_least(dims), "q_ids binary, q_data binary, q_least binary, q_need double")
     first = plain.crossJoin(F.broadcast(head)).select(*data).mapInArrow(search, FOUND)
     bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    bounded = queries.join(bound, queries["id"] == bound["query_id"], "left").select("id", "v", "least")
+    bounded = queries.join(bound, queries["id"] == bound["query_id"], "left").select("id", "v", "least").coalesce(parts)
     asked = bounded.mapInArrow(_with_least(dims), "q_ids binary, q_data binary, q_least binary, q_need double")
     # a block pair whose longest vector is too short for every query of its block is never made
     pairs = cut(asked).join(blocks.select("ids", "data", "longest"), F.col("longest") * (1 + SLACK) >= F.col("q_need") * (1 - SLACK))
