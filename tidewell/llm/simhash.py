@@ -15,15 +15,14 @@ until its groups are small, so no task holds an unbounded group and no pair is l
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, text_list
+from tidewell.llm.common import cut, shuffle_partitions, text_list
 from tidewell.llm.components import connected_components
 
 SEED = 42
@@ -121,37 +120,36 @@ def _links(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (left, right)], ["a", "b"])
 
 
-def _keyed(fps: DataFrame, masks: list[int], fp: Column) -> DataFrame:
-    keys = F.array(*(fp.bitwiseAND(F.lit(_signed(m))) for m in masks))
-    return fps.select(fp.alias("fp"), F.posexplode(keys).alias("mask", "bits"))
+def _deal_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, mask) to one row for each finer mask."""
+    for batch in batches:
+        fps = batch.column(0).to_numpy().view(np.uint64)
+        masks, of = np.unique(batch.column(1).to_numpy().view(np.uint64), return_inverse=True)
+        table = np.array([finer(int(m)) for m in masks], np.uint64).reshape(-1, 4)
+        new = table[of].ravel()
+        fp = np.repeat(fps, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (fp, new, fp & new)], ["fp", "mask", "bits"])
 
 
 def near_edges(fps: DataFrame, group: int = GROUP) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs within 3 bits of ``fps`` (distinct fp).
 
     Counts per key combine before the shuffle; only keys with two fingerprints or
-    more go on.  Groups of more than ``group`` are dealt again by finer masks.
+    more go on.  Groups of more than ``group`` (8 at least, since as many agree on
+    all but 3 bits) are dealt again by finer masks.
     """
-    parts, masks = [], list(MASKS)
-    keyed = _keyed(fps, masks, F.col("fp"))
+    parts, group = [], max(group, 1 << REACH)
+    keys = F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for m in MASKS))
+    keyed = fps.select("fp", F.explode(keys).alias("x")).select("fp", "x.mask", "x.bits")
     while True:
         sizes = keyed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = cut(keyed.join(sizes, ["mask", "bits"]))
         small = shared.where(F.col("n") <= group).groupBy("mask", "bits").agg(F.collect_list("fp").alias("fps"))
-        parts.append(small.select("fps").mapInArrow(_links, "a long, b long"))
+        parts.append(small.select("fps").repartition(shuffle_partitions(fps.sparkSession)).mapInArrow(_links, "a long, b long"))
         large = shared.where(F.col("n") > group)
         if not large.take(1):
             break
-        nexts = {m: finer(m) for m in masks}
-        whole = [i for i, m in enumerate(masks) if not nexts[m]]
-        if whole:  # at most 3 free bits: 8 fingerprints at most, never a large group
-            raise AssertionError("a group of fully fixed masks cannot be large")
-        flat = list(dict.fromkeys(chain.from_iterable(nexts.values())))
-        number = {m: i for i, m in enumerate(flat)}
-        step = F.create_map(*chain.from_iterable((F.lit(i), F.array(*(F.struct(F.lit(number[x]).alias("mask"), F.lit(_signed(x)).alias("m")) for x in nexts[m]))) for i, m in enumerate(masks)))
-        dealt = large.select("fp", F.explode(step[F.col("mask")]).alias("x"))
-        keyed = dealt.select("fp", F.col("x.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("x.m")).alias("bits")).distinct()
-        masks = flat
+        keyed = large.select("fp", "mask").mapInArrow(_deal_finer, "fp long, mask long, bits long").distinct()
     edges = parts[0]
     for more in parts[1:]:
         edges = edges.unionByName(more)
