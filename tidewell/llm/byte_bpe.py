@@ -25,7 +25,7 @@ from tidewell.llm.common import HashIndex, TwoGenerations, by_chars, once, text_
 PAD = (1 << 20) - 1
 NEVER = np.int32(1 << 30)
 #: Pieces in each half of the cache.
-CACHE = 300_000
+CACHE = 100_000
 #: Longer pieces merge by a heap: rounds take time by the square of the length.
 LONG = 256
 WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, LONG)

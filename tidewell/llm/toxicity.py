@@ -28,7 +28,7 @@ DISCOUNT = 0.75
 #: Labelled documents of each class that give counts, and that give the weights, on average at most.
 COUNT_DOCS, WEIGHT_DOCS = 5000, 3000
 BITS = 10
-CACHE = 300_000
+CACHE = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 TOP = 3
 
