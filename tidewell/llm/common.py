@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 
 import numpy as np
@@ -88,6 +90,22 @@ def once(kind, *arguments):
     return _MADE[key]
 
 
+def without_collections(run):
+    """``run`` without collections of cyclic garbage meanwhile: it makes many objects and no cycles."""
+
+    @functools.wraps(run)
+    def wrapped(*arguments):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return run(*arguments)
+        finally:
+            if was:
+                gc.enable()
+
+    return wrapped
+
+
 class TwoGenerations(dict):
     """A bounded cache: beyond ``size`` entries the older half is given up, unless met again."""
 

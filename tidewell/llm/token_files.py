@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import TwoGenerations, by_chars, cut, once, shared_dir, shuffle_partitions, text_list
+from tidewell.llm.common import TwoGenerations, by_chars, cut, once, shared_dir, shuffle_partitions, text_list, without_collections
 
 #: Chunks in each half of the cache, and chunks encoded at once.
 CACHE, BATCH = 400_000, 20_000
@@ -57,6 +57,7 @@ class ChunkEncoder:
         ends = (np.cumsum(np.bincount(at, minlength=len(chunks))) * self.dtype.itemsize).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    @without_collections
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian."""
         chunks = [(t.encode().lower() if self.fold else t.encode()).split() for t in texts]
