@@ -1,0 +1,35 @@
+"""The pipeline's near-copy stage against brute force over five-word shingles."""
+
+import itertools
+import random
+
+import corpus_pipeline
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_stage_drops_all_pairs_of_jaccard_four_fifths(spark):
+    rng = random.Random(11)
+    texts = [None, "", "  ", "one two", "One  two", "one two three four five"]
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 250))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += ["a common line that many short texts hold in full " + " ".join(f"x{rng.randrange(50)}" for _ in range(k % 4)) for k in range(40)]
+    sets = [shingle_set(t) for t in texts]
+    least = list(range(len(texts)))
+    edges = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(edges) > 60
+    for _ in texts:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect()}
+    assert found == set(least)

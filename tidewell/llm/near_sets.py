@@ -1,0 +1,138 @@
+"""Near copies of documents by an exact set-similarity join over their word shingles.
+
+A document is the set of its runs of ``words`` words.  Two sets of n and m shingles
+with Jaccard similarity of num/den or more share ``need`` = num (n + m) / (num + den)
+shingles, so under one order of all shingles the first n - ceil(num n / den) + 1 of
+each share one, and from the first shared one on enough are left.  Any order gives
+the same pairs; shingles that are rare in a sample come first, which keeps the
+groups that share one small.  What passes is verified on the whole sets.
+
+Each set is first held against the first of each group, and what links is one
+component.  After that only pairs across components can change the outcome, so a
+large group of near copies costs pairs in proportion to its members.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewell.llm.common import cut, mix64, text_list
+from tidewell.llm.components import connected_components
+
+WORDS = 5
+#: Shingles of about this many documents are counted, in 2 ** BITS buckets, to put rare ones first.
+SAMPLE_DOCS, BITS = 30_000, 18
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles; a shorter text is one shingle."""
+    tokens = text.encode().lower().split()  # bytes: only A-Z and the six ASCII blanks count
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    width = min(words, len(tokens))
+    found = np.full(len(tokens) - width + 1, width, np.uint64)
+    for i in range(width):
+        found = mix64(found) + each[i : len(each) - width + 1 + i]
+    return np.unique(mix64(found))
+
+
+def _bucket_counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for t in text_list(batch.column(0)):
+                np.add.at(total, (shingles(t, words) >> np.uint64(64 - BITS)).astype(np.int64), 1)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    return run
+
+
+def _classes(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """The frequency class of each bucket of shingles, 0 (rare) to 7."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    unit = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
+    sample = docs.where(unit < share).select(text).mapInArrow(_bucket_counts(words), "bucket long, n long")
+    found = sample.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << BITS)
+    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    return np.clip(np.round(np.log2((counts + 1) / (counts.mean() + 1))) + 1, 0, 7).astype(np.uint64)
+
+
+def _sets(words: int, classes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, words) for t in text_list(batch.column(1))]
+            low = np.uint64((1 << 60) - 1)
+            found = [np.sort(classes.value[(h >> np.uint64(64 - BITS)).astype(np.int64)] << np.uint64(60) | h & low).view(np.int64) for h in found]
+            sid = np.array([xxhash.xxh3_64_intdigest(k.tobytes()) for k in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["key", "sid", "keys"])
+
+    return run
+
+
+def _close(n: Column, i: Column, m: Column, j: Column, num: int, den: int) -> Column:
+    """Whether two postings (size, place) pass the length and positional filters."""
+    need = F.floor(((n + m) * num + num + den - 1) / F.lit(num + den))
+    return F.least(n - i, m - j) >= need
+
+
+def _verified(pairs: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar."""
+    pairs = cut(pairs.distinct())
+    used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    keys = cut(placed.select("sid", "keys").join(used, "sid", "left_semi").dropDuplicates(["sid"]))
+    both = pairs.join(keys.select(F.col("sid").alias("a"), F.col("keys").alias("a_keys")), "a").join(keys.select(F.col("sid").alias("b"), F.col("keys").alias("b_keys")), "b")
+    similar = F.size(F.array_intersect("a_keys", "b_keys")) * (num + den) >= num * (F.size("a_keys") + F.size("b_keys"))
+    return cut(both.where(similar).select("a", "b"))
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = 4, den: int = 5) -> DataFrame:
+    """key and component_id of every row: the smallest key reachable over pairs of Jaccard num/den or more.
+
+    Texts without words, null or empty, link with each other.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    classes = spark.sparkContext.broadcast(_classes(rows, "text", words))
+    placed = cut(rows.mapInArrow(_sets(words, classes), f"key {rows.schema['key'].dataType.simpleString()}, sid long, keys array<long>"))
+    n = F.size("keys")
+    prefix = F.slice("keys", F.lit(1), n - F.floor((n * num + den - 1) / F.lit(den)).cast("int") + 1)
+    heads = placed.where(n > 0).select("sid", n.alias("n"), prefix.alias("prefix")).dropDuplicates(["sid"])
+    postings = heads.select("sid", "n", F.posexplode("prefix").alias("i", "token"))
+    group = Window.partitionBy("token")
+    shared = postings.withColumns({"e": F.min(F.struct("sid", "n", "i")).over(group), "last": F.max("sid").over(group)})
+    shared = cut(shared.where("e.sid < last").drop("last"))
+    first = shared.where((F.col("sid") > F.col("e.sid")) & _close(F.col("n"), F.col("i"), F.col("e.n"), F.col("e.i"), num, den))
+    edges = _verified(first.select(F.col("sid").alias("a"), F.col("e.sid").alias("b")), placed, num, den)
+    roots = cut(connected_components(edges))
+    # pairs across components: those outside a token's most usual component against all
+    rooted = shared.drop("e").join(roots, shared["sid"] == roots["node"], "left").select("token", "sid", "n", "i", F.coalesce("root", "sid").alias("root"))
+    usual = rooted.groupBy("token").agg(F.mode("root", True).alias("usual"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = cut(rooted.join(usual.select("token", "usual"), "token"))
+    left = mixed.where("root <> usual").select("token", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "i", "root")))
+    near = _close(F.col("l_n"), F.col("l_i"), F.col("n"), F.col("i"), num, den)
+    once = (F.col("root") == F.col("usual")) | (F.col("sid") < F.col("l_sid"))
+    across = left.join(mixed, "token").where((F.col("root") != F.col("l_root")) & once & near)
+    more = _verified(across.select(F.greatest("sid", "l_sid").alias("a"), F.least("sid", "l_sid").alias("b")), placed, num, den)
+    roots = cut(connected_components(edges.unionByName(more)))
+    nodes = placed.groupBy("sid").agg(F.min("key").alias("first"))
+    named = cut(nodes.join(roots, nodes["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return placed.select(F.col("key").alias(key), "sid").join(named.join(least, "root").select("sid", "component_id"), "sid").select(key, "component_id")
+
+
+def drop_near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The row of the smallest key of each component of near copies, columns unchanged.
+
+    Rows that repeat this key in one component all stay.
+    """
+    first = near_groups(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
+    return docs.join(first, docs[key].eqNullSafe(first["_first"]), "left_semi")
