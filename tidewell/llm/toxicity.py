@@ -218,7 +218,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, weigh: Column, key: str = "
     words = sample.where("not weigh").select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(0))).alias("word"))
     counted = words.groupBy("word").agg(F.sum(1 - F.col("label")).alias("ordinary"), F.sum("label").alias("toxic"))
     grams = counted.mapInArrow(_gram_counts, "key long, ordinary long, toxic long").groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    table = grams.where("ordinary + toxic > 1").toPandas().sort_values("key")
+    table = grams.toPandas().sort_values("key")  # all of them: the back-off mass comes largely from grams seen once
     if table.empty:
         table = table.reindex([0]).fillna(0)
     words_model = KneserNey.fit(table["key"].to_numpy(np.int64), table[["ordinary", "toxic"]].to_numpy(float).T)
