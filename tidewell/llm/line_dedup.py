@@ -1,9 +1,9 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
 A line is the set of its words.  Words are put in one order for all lines, rarest
-first: 4,096 buckets of their hash are counted over the whole table and give each
-word a frequency class; within a class longer words, which are rarer, come first,
-and the hash settles the rest.  A word's 64-bit sort key also stands for the word.
+first: the buckets of their hash are counted over the whole table and give each word
+a frequency class; within a class the hash settles the order.  A word's 64-bit sort
+key stands for the word until pairs are verified.
 Two sets of n and m words with Jaccard similarity of num/den or more share at least
 ``need`` = num (n + m) / (num + den) words, so
 
@@ -12,8 +12,8 @@ Two sets of n and m words with Jaccard similarity of num/den or more share at le
   (positional filter), which also bounds the lengths (length filter);
 - the 64-bit sketches of the two sets differ in n + m - 2 need bits at most.
 
-What passes is verified on the full sets.  A line goes if an earlier line, by
-(document, line number), is that similar, whether or not that line stays itself.
+What passes is verified on the full sets of words.  A line goes if an earlier line,
+by (document, line number), is that similar, whether or not that line stays itself.
 
 Lines of one set are one row of the join.  Within the lines that share a word, each
 is first held against the first of them and the two before it, which settles most
@@ -27,44 +27,76 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.storagelevel import StorageLevel
 
-from tidewell.llm.common import UPPER, cut, shuffle_partitions
+from tidewell.llm.common import UPPER, cut, shuffle_partitions, stored
 
 BLANKS = "\t\x0b\x0c\r"
 #: Words are counted in 2 ** BITS buckets of their hash.
-BITS = 12
+BITS = 17
 LOW = (1 << 56) - 1
-#: Positions that are sent to every task; beyond this the rows are shuffled to them.
+#: Rows of one or two longs that are sent to every task; beyond this the rows are shuffled to them.
 BROADCAST_ROWS = 400_000
 
 
-def _text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, line_no (from 0) and line, A-Z lower-cased and other blanks made spaces."""
-    plain = F.translate(F.col(text), UPPER + BLANKS, UPPER.lower() + " " * len(BLANKS))
-    return docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+def _plain(text: Column) -> Column:
+    """A-Z lower-cased and blanks other than newlines made spaces; ASCII without such blanks goes a shorter way."""
+    simple = F.octet_length(text) == F.length(text)
+    for c in BLANKS:
+        simple = simple & ~F.contains(text, F.lit(c))
+    return F.when(simple, F.lower(text)).otherwise(F.translate(text, UPPER + BLANKS, UPPER.lower() + " " * len(BLANKS)))
 
 
-def _classes(docs: DataFrame, text: str) -> Column:
-    """The frequency class of each bucket of words, 0 (rare) to 15: 4,096 numbers however large the table."""
-    plain = F.translate(F.col(text), UPPER + BLANKS + "\n", UPPER.lower() + " " * 5)
-    words = docs.select(F.explode(F.split(plain, " ")).alias("word")).where("word <> ''")
+def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (key, text, ...) with ``rid``, and the bits that a line number takes.
+
+    ``rid`` is a number of its own for each document, null keys first and otherwise in
+    the order of the keys.  Keys that are whole numbers, differ and span few enough
+    bits give it themselves; else the distinct pairs of a key and its text's hash are
+    ranged and numbered, so repeated keys with different texts are documents apart.
+    """
+    spark, whole = rows.sparkSession, isinstance(rows.schema["key"].dataType, IntegralType)
+    low, high, widest = rows.agg(*((F.min("key"), F.max("key")) if whole else (F.lit(None), F.lit(None))), F.max(F.octet_length("text"))).first()
+    bits = max(1, int(widest or 1).bit_length())
+    if whole and (int(high or 0) - int(low or 0) + 2).bit_length() + bits <= 62 and rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows.withColumn("rid", F.coalesce(F.col("key").cast("long") - F.lit(int(low or 0)) + 1, F.lit(0))), bits
+    tied = rows.withColumn("tie", F.xxhash64("text"))
+    ranged = tied.select("key", "tie").distinct().repartitionByRange(shuffle_partitions(spark), "key", "tie").sortWithinPartitions("key", "tie")
+    placed = cut(ranged.select(F.col("key").alias("k"), F.col("tie").alias("t"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    # a row per partition: the prefix sum over them stays small however many documents there are
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select(F.col("part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    ids = placed.join(F.broadcast(base), "part").select("k", "t", (F.col("at") + F.col("base")).alias("rid"))
+    return tied.join(ids, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).drop("tie", "k", "t"), bits
+
+
+def _lines(rows: DataFrame, bits: int) -> DataFrame:
+    """pos (rid and line number from 0) and line of each line that holds a word."""
+    each = rows.select("rid", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
+    return each.where(F.trim("line") != "").select(F.shiftleft("rid", bits).bitwiseOR(F.col("line_no").cast("long")).alias("pos"), "line")
+
+
+def _classes(rows: DataFrame) -> Column:
+    """Each bucket's frequency class, 0 (rare) to 31, in a key's upper bits: 2 ** BITS numbers however large the table."""
+    words = rows.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     buckets = words.select(F.shiftrightunsigned(F.xxhash64("word"), 64 - BITS).cast("int").alias("bucket"))
-    counts = dict(cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))).collect())
-    usual = sum(counts.values()) / (1 << BITS) + 1
-    found = (min(15, max(0, 4 + round(2 * math.log2((counts.get(b, 0) + 1) / usual)))) for b in range(1 << BITS))
-    return F.split(F.lit(",".join(str(16 * c) for c in found)), ",").cast("array<int>")  # folded to one constant
+    counted = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    usual = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << BITS) + 1
+    rank = F.greatest(F.lit(0), F.least(F.lit(31), F.lit(8) + F.round(F.log2((F.col("n") + 1) / F.lit(usual)) * 2))).cast("int")
+    least = max(0, min(31, 8 + round(2 * math.log2(1 / usual))))
+    found = counted.where(rank != least).agg(F.collect_list("bucket"), F.collect_list(rank)).first()
+    table = [least] * (1 << BITS)
+    for bucket, c in zip(*found):
+        table[bucket] = c
+    return F.split(F.lit(",".join(str(c << 56) for c in table)), ",").cast("array<bigint>")  # folded to one constant
 
 
 def _keys(line: Column, classes: Column) -> Column:
     """The sorted sort keys of a line's distinct words; each stands for its word."""
-
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rarity = F.get(classes, F.shiftrightunsigned(h, 64 - BITS).cast("int")) + 15 - F.least(F.length(word), F.lit(15)) - 128
-        return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
-
-    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    known = F.array_remove(hashes, F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(known, lambda h: F.get(classes, F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
 def _close(n: Column, i: Column, b: Column, m: Column, j: Column, c: Column, num: int, den: int) -> Column:
@@ -73,54 +105,52 @@ def _close(n: Column, i: Column, b: Column, m: Column, j: Column, c: Column, num
     return (F.least(n - i, m - j) >= need) & (F.bit_count(b.bitwiseXOR(c)) <= n + m - 2 * need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, classes: Column, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     """The later ``sid`` of the pairs (sid, e) that really are similar; words are read again for their lines only."""
     pairs = cut(pairs.distinct())
-    used = pairs.select("sid").unionByName(pairs.select(F.col("e").alias("sid"))).distinct()
-    used = cut(sets.select("sid", "doc_id", "line_no").join(used, "sid", "left_semi"))
-    wanted = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used
-    keys = cut(lines.join(wanted, ["doc_id", "line_no"]).dropDuplicates(["sid"]).select("sid", _keys(F.col("line"), classes).alias("keys")))
-    earlier = keys.select(F.col("sid").alias("e"), F.col("keys").alias("e_keys"))
-    both = pairs.join(keys, "sid").join(earlier, "e")
-    similar = F.size(F.array_intersect("keys", "e_keys")) * (num + den) >= num * (F.size("keys") + F.size("e_keys"))
-    return both.where(similar).select("sid").distinct()
-
-
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, line_no (from 0) of each line that an earlier line matches by num/den or more.
-
-    Words are maximal runs without ASCII blanks, A-Z lower-cased; a line's repeated
-    words count once.  Lines without words never go.  Of lines with equal sets all
-    but the first go.  Null texts have no lines; null keys sort before others.  Rows
-    that repeat a key and text are one document.  An empty table gives no rows.
-    """
-    spark, classes, lines = docs.sparkSession, _classes(docs, text), _text_lines(docs, key, text)
-    parts = shuffle_partitions(spark)
-    keyed = lines.select("doc_id", "line_no", _keys(F.col("line"), classes).alias("keys")).where(F.size("keys") > 0)
+    used = cut(pairs.select("sid").unionByName(pairs.select(F.col("e").alias("sid"))).distinct())
+    sized = F.broadcast if used.count() <= BROADCAST_ROWS else lambda df: df
+    documents = used.select(F.shiftright("sid", bits).alias("rid")).distinct()
+    lines = _lines(rows.select("rid", "text").join(sized(documents), "rid", "left_semi"), bits)
+    words = F.array_distinct(F.array_remove(F.split("line", " "), ""))
+    found = stored(lines.join(sized(used), lines["pos"] == used["sid"], "left_semi").dropDuplicates(["pos"]).select("pos", words.alias("words")))
+    later, earlier = (found.select(F.col("pos").alias(at), F.col("words").alias(w)) for at, w in (("sid", "words"), ("e", "e_words")))
+    both = pairs.join(later, "sid").join(earlier, "e")
+    similar = F.size(F.array_intersect("words", "e_words")) * (num + den) >= num * (F.size("words") + F.size("e_words"))
+    return cut(both.where(similar).select("sid").distinct())
+
+
+def _gone(rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
+    """rid and line_no of each line of ``rows`` (rid, text) that an earlier one matches by num/den or more."""
+    spark, classes = rows.sparkSession, _classes(rows)
+    keyed = _lines(rows, bits).select("pos", _keys(F.col("line"), classes).alias("keys"))
     n = F.size("keys")
-    prefix = F.slice("keys", 1, n - F.floor((n * num + den - 1) / F.lit(den)).cast("int") + 1).cast("array<long>")
+    prefix = F.slice("keys", 1, n - F.floor((n * num + den - 1) / F.lit(den)).cast("int") + 1)
     sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     tokens = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    placed = cut(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), sketch.alias("b"), tokens.alias("tokens")))
-    # one row per set, numbered in the order of first positions
-    firsts = placed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no", "n", "b", "tokens")).alias("at"), F.count(F.lit(1)).alias("copies")).select("s1", "s2", "copies", "at.*")
-    sets = cut(firsts.repartitionByRange(parts, "doc_id", "line_no", "s1").sortWithinPartitions("doc_id", "line_no", "s1")).withColumn("sid", F.monotonically_increasing_id())
+    placed = stored(keyed.select("pos", F.xxhash64("keys").alias("s"), n.alias("n"), sketch.alias("b"), tokens.alias("tokens")))
+    # one row per set, known by the hash of its keys, its size and its sketch, and named by its first position;
     # a set below this size has no partner but itself
-    joinable = sets.where(F.col("n") * den >= num * (F.col("n") + 1))
-    postings = joinable.select("sid", "n", "b", F.posexplode("tokens").alias("i", "token"))
+    sets = placed.where(F.col("n") * den >= num * (F.col("n") + 1)).groupBy("s", "n", "b", "tokens").agg(F.min("pos").alias("sid"))
+    postings = sets.select("sid", "n", "b", F.posexplode("tokens").alias("i", "token"))
     size = F.shiftleft(F.least("i", F.lit(1 << 20)).cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    dealt = postings.select("token", "sid", "b", size.alias("at")).repartition(parts, "token").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = postings.select("token", "sid", "b", size.alias("at")).repartition(shuffle_partitions(spark), "token").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _removed(dealt, sets, placed, lines, classes, num, den).select(F.col("doc_id").alias(key), "line_no")
+        similar = _similar(dealt, rows, bits, num, den)
     finally:
         dealt.unpersist()
+    firsts = placed.groupBy("s", "n", "b").agg(F.min("pos").alias("sid"), F.count(F.lit(1)).alias("copies"))
+    judged = firsts.join(similar.withColumn("gone", F.lit(True)), "sid", "left").where("copies > 1 or gone")
+    named = placed.select("pos", "s", "n", "b").join(judged, ["s", "n", "b"]).where("gone or pos <> sid")
+    return named.select(F.shiftright("pos", bits).alias("rid"), F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line_no"))
 
 
 def _split(at: Column) -> tuple[Column, Column]:
     return at.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(at, 32)
 
 
-def _removed(dealt: DataFrame, sets: DataFrame, placed: DataFrame, lines: DataFrame, classes: Column, num: int, den: int) -> DataFrame:
+def _similar(dealt: DataFrame, rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
+    """The ``sid`` of each set that an earlier set is similar to."""
     order = Window.partitionBy("token").orderBy("sid")
     row = F.struct("sid", "b", "at")
     some = dealt.withColumns({"e0": F.first(row).over(order), "e1": F.lag(row, 1).over(order), "e2": F.lag(row, 2).over(order)})
@@ -132,32 +162,45 @@ def _removed(dealt: DataFrame, sets: DataFrame, placed: DataFrame, lines: DataFr
 
     near = F.array_compact(F.array(*(F.when(close(e), F.col(f"{e}.sid")) for e in ("e0", "e1", "e2"))))
     pairs = some.select("sid", F.explode(near).alias("e"))
-    settled = cut(_verified(pairs, sets, lines, classes, num, den))
+    settled = _verified(pairs, rows, bits, num, den)
     known = F.broadcast(settled) if settled.count() <= BROADCAST_ROWS else settled
     other = dealt.select(F.col("token").alias("e_token"), F.col("sid").alias("e"), F.col("b").alias("e_b"), F.col("at").alias("e_at"))
     n, i = _split(F.col("e_at"))
     near = _close(*own, F.col("b"), n, i, F.col("e_b"), num, den)
     rest = dealt.join(known, "sid", "left_anti").join(other, (F.col("token") == F.col("e_token")) & (F.col("e") < F.col("sid")) & near).select("sid", "e")
-    gone = cut(settled.unionByName(_verified(rest, sets, lines, classes, num, den)).distinct()).withColumn("gone", F.lit(True))
-    judged = sets.join(gone, "sid", "left").where("copies > 1 or gone").select("s1", "s2", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    named = placed.select("doc_id", "line_no", "s1", "s2").join(judged, ["s1", "s2"])
-    stays = ~F.col("gone") & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("line_no") == F.col("f_line"))
-    return named.where(~stays).select("doc_id", "line_no").distinct()
+    return cut(settled.unionByName(_verified(rest, rows, bits, num, den)))
+
+
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
+    """key, line_no (from 0) of each line that an earlier line matches by num/den or more.
+
+    Words are maximal runs without ASCII blanks, A-Z lower-cased; a line's repeated
+    words count once.  Lines without words never go.  Of lines with equal sets all
+    but the first go.  Null texts have no lines; null keys sort before others.  Rows
+    that repeat a key and text are one document; rows that repeat a key with another
+    text are documents of their own, in the order of a hash of the text.  An empty
+    table gives no rows.
+    """
+    rows, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    gone = _gone(rows, bits, num, den)
+    return gone.join(rows.select("rid", "key").distinct(), "rid").select(F.col("key").alias(key), "line_no")
 
 
-def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """key, n_lines, n_removed and removed_lines (array of line numbers) of each row of ``docs``."""
-    gone = removed_lines(docs, key, text, **options).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
-    rows = docs.select(F.col(key), F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    joined = rows.join(gone, rows[key].eqNullSafe(gone["_key"]), "left").drop("_key")
-    empty = F.array().cast("array<int>")
-    return joined.withColumn("removed_lines", F.coalesce("removed_lines", empty)).withColumn("n_removed", F.size("removed_lines").cast("long"))
+    rows, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    gone = _gone(rows, bits, num, den).groupBy("rid").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
+    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    counted = rows.select("rid", "key", F.coalesce(newlines, F.lit(0)).cast("long").alias("n_lines"))
+    removed = F.coalesce("lines", F.array().cast("array<int>"))
+    return counted.join(gone, "rid", "left").select(F.col("key").alias(key), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with the removed lines cut out of the text; columns unchanged, a null text stays null."""
-    gone = removed_lines(docs, key, text, **options).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["_key"]), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(kept, "\n"))).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), whole))
+    gone = _gone(rows.select("rid", "text"), bits, num, den).groupBy("rid").agg(F.collect_set("line_no").alias("lines"))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("lines"), i))
+    shorter = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return rows.join(gone, "rid", "left").select(*(shorter.alias(c) if c == text else F.col("whole")[c].alias(c) for c in docs.columns))
