@@ -43,6 +43,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused_name(columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in whatever case."""
+    taken, name = {c.lower() for c in columns}, "text_"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Null as empty; A-Z become a-z and nothing else changes."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
@@ -90,7 +98,7 @@ _MADE: dict = {}
 
 def once(kind, *arguments):
     """``kind(*arguments)``, made once per process and kept: workers run many tasks."""
-    key = (kind, *(hash(a) for a in arguments))
+    key = (kind, *arguments)
     if key not in _MADE:
         if len(_MADE) > 8:
             _MADE.clear()

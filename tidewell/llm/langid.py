@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import by_chars, cut, text_list
+from tidewell.llm.common import by_chars, cut, text_list, unused_name
 
 BUCKETS = 1 << 15
 WINDOW = 40
@@ -164,6 +164,6 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
     without a shuffle; repeated rows are predicted each.
     """
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    rows = docs.select(*rest, F.col(text).alias("_text"))
+    rows = docs.select(*rest, docs[text].alias(unused_name(rest)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema), "lang_pred string", "score double"])
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)

@@ -48,8 +48,8 @@ def _plain(text: Column) -> Column:
     return F.when(simple, F.lower(text)).otherwise(F.translate(text, UPPER + BLANKS, UPPER.lower() + " " * len(BLANKS)))
 
 
-def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``rows`` (key, text, ...) with ``rid``, and the bits that a line number takes.
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``rows`` (key, text, ...) with ``rid``; rid and text of each document once; the bits that a line number takes.
 
     ``rid`` is a number of its own for each document, null keys first and otherwise in
     the order of the keys.  Keys that are whole numbers, differ and span few enough
@@ -60,7 +60,8 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     low, high, widest = rows.agg(*((F.min("key"), F.max("key")) if whole else (F.lit(None), F.lit(None))), F.max(F.octet_length("text"))).first()
     bits = max(1, int(widest or 1).bit_length())
     if whole and (int(high or 0) - int(low or 0) + 2).bit_length() + bits <= 62 and rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return rows.withColumn("rid", F.coalesce(F.col("key").cast("long") - F.lit(int(low or 0)) + 1, F.lit(0))), bits
+        own = rows.withColumn("rid", F.coalesce(F.col("key").cast("long") - F.lit(int(low or 0)) + 1, F.lit(0)))
+        return own, own.select("rid", "text"), bits
     tied = rows.withColumn("tie", F.xxhash64("text"))
     ranged = tied.select("key", "tie").distinct().repartitionByRange(shuffle_partitions(spark), "key", "tie").sortWithinPartitions("key", "tie")
     placed = cut(ranged.select(F.col("key").alias("k"), F.col("tie").alias("t"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
@@ -68,7 +69,8 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     base = sizes.select(F.col("part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     ids = placed.join(F.broadcast(base), "part").select("k", "t", (F.col("at") + F.col("base")).alias("rid"))
-    return tied.join(ids, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).drop("tie", "k", "t"), bits
+    own = tied.join(ids, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).drop("tie", "k", "t")
+    return own, stored(own.select("rid", "text").dropDuplicates(["rid"])), bits
 
 
 def _lines(rows: DataFrame, bits: int) -> DataFrame:
@@ -112,12 +114,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, bits: int, num: int, den: int)
     sized = F.broadcast if used.count() <= BROADCAST_ROWS else lambda df: df
     documents = used.select(F.shiftright("sid", bits).alias("rid")).distinct()
     lines = _lines(rows.select("rid", "text").join(sized(documents), "rid", "left_semi"), bits)
-    words = F.array_distinct(F.array_remove(F.split("line", " "), ""))
-    found = stored(lines.join(sized(used), lines["pos"] == used["sid"], "left_semi").dropDuplicates(["pos"]).select("pos", words.alias("words")))
-    later, earlier = (found.select(F.col("pos").alias(at), F.col("words").alias(w)) for at, w in (("sid", "words"), ("e", "e_words")))
-    both = pairs.join(later, "sid").join(earlier, "e")
+    found = stored(lines.join(sized(used), lines["pos"] == used["sid"], "left_semi"))
+    # lines travel as text, which is far smaller than arrays of their words
+    later, earlier = (found.select(F.col("pos").alias(at), F.col("line").alias(x)) for at, x in (("sid", "line"), ("e", "e_line")))
+    words = [F.array_distinct(F.array_remove(F.split(x, " "), "")).alias(w) for x, w in (("line", "words"), ("e_line", "e_words"))]
+    both = pairs.join(later, "sid").join(earlier, "e").select("sid", *words)
     similar = F.size(F.array_intersect("words", "e_words")) * (num + den) >= num * (F.size("words") + F.size("e_words"))
-    return cut(both.where(similar).select("sid").distinct())
+    return cut(both.select("sid", similar.alias("similar")).where("similar").select("sid").distinct())
 
 
 def _gone(rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
@@ -181,15 +184,15 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num:
     text are documents of their own, in the order of a hash of the text.  An empty
     table gives no rows.
     """
-    rows, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    gone = _gone(rows, bits, num, den)
+    rows, once, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    gone = _gone(once, bits, num, den)
     return gone.join(rows.select("rid", "key").distinct(), "rid").select(F.col("key").alias(key), "line_no")
 
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """key, n_lines, n_removed and removed_lines (array of line numbers) of each row of ``docs``."""
-    rows, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    gone = _gone(rows, bits, num, den).groupBy("rid").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
+    rows, once, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    gone = _gone(once, bits, num, den).groupBy("rid").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     counted = rows.select("rid", "key", F.coalesce(newlines, F.lit(0)).cast("long").alias("n_lines"))
     removed = F.coalesce("lines", F.array().cast("array<int>"))
@@ -199,8 +202,8 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with the removed lines cut out of the text; columns unchanged, a null text stays null."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
-    rows, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), whole))
-    gone = _gone(rows.select("rid", "text"), bits, num, den).groupBy("rid").agg(F.collect_set("line_no").alias("lines"))
+    rows, once, bits = _numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), whole))
+    gone = _gone(once, bits, num, den).groupBy("rid").agg(F.collect_set("line_no").alias("lines"))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("lines"), i))
     shorter = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.join(gone, "rid", "left").select(*(shorter.alias(c) if c == text else F.col("whole")[c].alias(c) for c in docs.columns))

@@ -67,38 +67,44 @@ def copies(rate: Column, key: Column, seed: int) -> Column:
     return (F.floor(rate) + (unit_hash(key, seed) < rate - F.floor(rate)).cast("int")).cast("long")
 
 
+def _planned(
+    docs: DataFrame, key: str, text: str, source: str, weights: Sequence[float], cap: float, seed: int, whole: Sequence[Column] = (),
+) -> DataFrame:
+    """key, size, source_size, target, copies and taken of each row, beside the columns ``whole``."""
+    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("of"), word_count(F.col(text)).alias("size"), *whole)
+    if not whole:
+        sized = cut(sized)
+    totals = cut(sized.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size")))
+    targets = source_targets(totals, weights, cap)
+    if totals.count() <= SMALL_ROWS:
+        targets = F.broadcast(targets)
+    joined = sized.join(targets, F.col("of").eqNullSafe(F.col("source")))
+    planned = joined.withColumn("copies", copies(F.col("rate"), F.col("key"), seed))
+    return planned.withColumn("taken", F.col("size") * F.col("copies"))
+
+
 def mix_plan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 42, keep: Sequence[str] = (),
+    weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 42,
 ) -> DataFrame:
     """How often each document is taken: key, size, source_size, target, copies, taken.
 
     Size is the number of words; null and empty texts have size 0 and are taken by
     their source's rate like others (0 times where the source has no words).  Null
-    is a source of its own, last in order.  Repeated rows of a key get the same
-    number of copies.  Column names of ``docs`` outside the named ones are ignored
-    unless listed in ``keep``; those join the result as they are.
+    is a source of its own, last in order.  Repeated rows of a key, null keys
+    included, get the same number of copies.  Other columns of ``docs``, whatever
+    their names, are ignored.
     """
-    sized = docs.select(
-        F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"),
-        *(F.col(c).alias(f"_keep_{c}") for c in keep),
-    )
-    if not keep:
-        sized = cut(sized)
-    totals = cut(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")))
-    targets = source_targets(totals, weights, cap)
-    if totals.count() <= SMALL_ROWS:
-        targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col("_source").eqNullSafe(F.col("source")))
-    taken = copies(F.col("rate"), F.col("_key"), seed)
-    return joined.select(
-        F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target", taken.alias("copies"),
-        (F.col("_size") * taken).alias("taken"), *(F.col(f"_keep_{c}").alias(c) for c in keep if c != key),
-    )
+    planned = _planned(docs, key, text, source, weights, cap, seed)
+    return planned.select(F.col("key").alias(key), "size", "source_size", "target", "copies", "taken")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as many times as the plan takes it, columns unchanged."""
-    plan = mix_plan(docs, key, keep=docs.columns, **options)
-    repeated = plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*docs.columns)
+def mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 42,
+) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as many times as the plan takes it, columns unchanged, of any names."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    planned = _planned(docs, key, text, source, weights, cap, seed, [whole])
+    repeated = planned.select("whole", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*(F.col("whole")[c].alias(c) for c in docs.columns))

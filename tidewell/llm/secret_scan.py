@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, text_list
+from tidewell.llm.common import cut, text_list, unused_name
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -336,6 +336,6 @@ def scan_secrets(docs: DataFrame, field: Field, text: str = "text") -> DataFrame
     without a shuffle; repeated rows are scanned each.
     """
     rest = [c for c in docs.columns if c not in (text, "spans")]
-    rows = docs.select(*rest, F.col(text).alias("_text"))
+    rows = docs.select(*rest, docs[text].alias(unused_name(rest)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema), f"spans {SPANS}"])
     return rows.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(field)), schema)

@@ -37,7 +37,7 @@ def integer_vectors(df: DataFrame, key: str, vector: str, scale: float) -> DataF
     """
     x = F.col("x")
     v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x")).where(
-        x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+        F.col(key).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     )
     return v.select("id", F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
 
@@ -186,7 +186,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     ``is_query`` marks the queries by columns of ``df``.  Candidates are all rows
     but those of the query's own key; on ties the smaller key ranks first, and fewer
     are returned where there are fewer.  Null vectors and those with null or
-    non-finite components take no part; shorter vectors count as filled up with
+    non-finite components take no part, nor do rows with a null key; shorter vectors count as filled up with
     zeros, an empty one scores 0.  Repeated rows of a key are candidates each; as a
     query such a key has its least vector.
     Returns query_id, rank (from 1), key, score; an empty table gives no rows.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import HashIndex, TwoGenerations, cut, text_list
+from tidewell.llm.common import HashIndex, TwoGenerations, cut, text_list, unused_name
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -252,7 +252,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text") -
     get the score of a document without words; repeated rows are scored each.
     """
     rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
-    rows = docs.select(*rest, F.col(text).alias("_text"))
+    rows = docs.select(*rest, docs[text].alias(unused_name(rest)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema), "score double"])
     scored = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
