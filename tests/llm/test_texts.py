@@ -74,8 +74,10 @@ def test_long_pieces_merge_alike():
 def test_token_files_round_trip(spark):
     model = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
     t = Tokenizer.from_str(model)
-    t.encode_special_tokens = True
-    texts = ODD + noise(200, 2)
+    marks = ["J\u030c \u030cj", "H\u0331 T\u0308x W\u030a", "<|endoftext|> hi", "a<|endoftext|>B <|EndOfText|>", "<|startoftext|>x y<|startoftext|>", "K\u030c \u212a\u0301", "A\u0328\u030a\u0301", "ΑΣ ΣΑΣ Σ"]
+    rng = random.Random(21)
+    wild = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x300, 0x370), rng.randrange(0xA0, 0x250), rng.randrange(0x370, 0x2100)])) for _ in range(40)) for _ in range(150)]
+    texts = ODD + noise(200, 2) + marks + wild
     folder, manifest = token_files.write_token_files(rows(spark, texts), model)
     found = sorted(token_files.read_token_files(spark, folder, manifest).collect(), key=lambda r: r["doc_id"])
     start, every = 0, []

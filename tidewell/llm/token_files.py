@@ -34,7 +34,10 @@ class ChunkEncoder:
     The tokenizer must treat white space as the end of a word and drop it; then the
     ids of a text are those of its chunks in order, and chunks met before need no
     second encoding.  New chunks are encoded as one text, and each token goes to the
-    chunk that its offset falls in.  Strings of special tokens are ordinary text.
+    chunk that its offset falls in.  Strings of special tokens become these tokens,
+    as the library has it.  Where the tokenizer lower-cases, so are chunks beforehand,
+    but for texts with combining marks, which the tokenizer composes before it
+    lower-cases, and with special tokens in any case, which it matches as written.
     """
 
     def __init__(self, model: str):
@@ -42,12 +45,19 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # a tokenizer that lower-cases gives A-Z and a-z the same ids
         self.fold = '"type":"Lowercase"' in model.replace(" ", "")
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = TwoGenerations(CACHE)
 
+    def _chunks(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if not self.fold or b"\xcc" in raw or b"\xcd" in raw:  # the first bytes of the marks that compose with ASCII letters
+            return raw.split()
+        low = raw.lower()
+        return (raw if any(s in low for s in self.special) else low).split()
+
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode() for c in chunks]
         starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
@@ -60,7 +70,7 @@ class ChunkEncoder:
     @without_collections
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian."""
-        chunks = [(t.encode().lower() if self.fold else t.encode()).split() for t in texts]
+        chunks = [self._chunks(t) for t in texts]
         new = self.cache.missing(set().union(*chunks))
         for i in range(0, len(new), BATCH):
             some = new[i : i + BATCH]
