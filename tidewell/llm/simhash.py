@@ -10,6 +10,11 @@ the Hamming distance are checked on each candidate.
 
 A key that many distinct fingerprints share is dealt again by more of their bits
 until its groups are small, so no task holds an unbounded group and no pair is lost.
+
+``similar_groups`` links by a wide reach instead, and by the shingle sets' Jaccard
+similarity in the end.  The keys of a wide reach would be a few bits long, so its
+candidates share one of the least shingle hashes; the same chain budgets and the
+Hamming distance prune them, and what passes is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, shuffle_partitions, text_list
+from tidewell.llm.common import cut, shuffle_partitions, stored, text_list
 from tidewell.llm.components import connected_components
 
 SEED = 42
@@ -31,26 +36,40 @@ REACH = 3
 #: Distinct fingerprints in a candidate group that is compared within one task.
 GROUP = 512
 BLOCK = 1 << 16
-
-
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The SimHash of a text's word shingles: a bit is set where over half the hashes have it."""
+#: Shingles of ``similar_groups``, and how many of a set's least hashes deal its candidates.  Two sets of
+#: Jaccard similarity s miss each other with a probability of about (1 - s) ** SKETCH: 3 in a million at 0.8.
+SIMILAR_WORDS, SKETCH = 5, 8
+#: Bits in which fingerprints of similarity 0.8 may differ: 10 on average, 12 for sets of a few shingles, deviation 3.
+WIDE = 22
+#: Sets that share a hash and are held against each other; more of them are dealt again by two hashes, then by three.
+HOT, DEPTH = 2000, 3
+BROADCAST_ROWS = 400_000
+
+
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, repeats included, a block at a time."""
     tokens = text.encode().lower().split()  # bytes: only A-Z and the six ASCII blanks count
     if not tokens:
-        return 0
+        return
     shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) >= words else iter([b" ".join(tokens)])
-    total, n = np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    while True:
-        some = [digest(s, SEED) for _, s in zip(range(BLOCK), shingles)]
-        if not some:
-            break
-        hashes = np.array(some, np.uint64)
+    while some := [digest(s, SEED) for _, s in zip(range(BLOCK), shingles)]:
+        yield np.array(some, np.uint64)
+
+
+def _majority(blocks: Iterator[np.ndarray]) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(some)
+        n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The SimHash of a text's word shingles: a bit is set where over half the hashes have it."""
+    return _majority(shingle_hashes(text, words))
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,10 +193,142 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     return marked.join(named, "fp").select(key, "fp", hexed.alias("fingerprint"), "component_id")
 
 
+# groups by similarity
+
+
+def _set_of(blocks: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def _name(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes())
+
+
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, n, fp, least = [], [], [], []
+            for t in text_list(batch.column(1)):
+                blocks = list(shingle_hashes(t, words))
+                found = _set_of(blocks)
+                sid.append(_name(found))
+                n.append(len(found))
+                fp.append(_majority(blocks))
+                least.append(found[:SKETCH].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(sid), pa.array(n, pa.int32()), _longs(fp), pa.array(least, pa.list_(pa.int64()))], ["key", "sid", "n", "fp", "least"])
+
+    return run
+
+
+def _whole_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_set_of(list(shingle_hashes(t, words))) for t in text_list(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([_longs([_name(x) for x in found]), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["sid", "hashes"])
+
+    return run
+
+
+def on_ring(x: Column, reach: int) -> Column:
+    """Whether the bits ``x`` in which two fingerprints differ hold a chain within its budgets and are ``reach`` at most."""
+    found = F.lit(False)
+    for start in range(8):
+        turned = F.shiftrightunsigned(x, 8 * start).bitwiseOR(F.shiftleft(x, 64 - 8 * start)) if start else x
+        chain = F.lit(True)
+        for length in range(1, 8):
+            chain = chain & (F.bit_count(turned.bitwiseAND(F.lit((1 << 8 * length) - 1))) <= reach * length // 8)
+        found = found | chain
+    return found & (F.bit_count(x) <= reach)
+
+
+def _maybe(n: Column, fp: Column, m: Column, gp: Column, reach: int, num: int, den: int) -> Column:
+    """The length filter, the ring and the Hamming distance."""
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & on_ring(fp.bitwiseXOR(gp), reach)
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar; texts are read again for their sets only."""
+    pairs = cut(pairs.distinct())
+    used = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    sized = F.broadcast if used.count() <= BROADCAST_ROWS else lambda df: df
+    firsts = nodes.join(sized(used), "sid", "left_semi").select(F.col("first").alias("first_key")).distinct()
+    texts = rows.join(sized(firsts), rows["key"].eqNullSafe(F.col("first_key")), "left_semi").select("text")
+    sets = texts.mapInArrow(_whole_sets(words), "sid long, hashes array<long>").join(sized(used), "sid", "left_semi")
+    sets = stored(sets.dropDuplicates(["sid"]))
+    one, other = (sets.select(F.col("sid").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(other, "b")
+    similar = F.size(F.array_intersect("a_hashes", "b_hashes")) * (num + den) >= num * (F.size("a_hashes") + F.size("b_hashes"))
+    return cut(both.where(similar).select("a", "b"))
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (token, path, sid, n, fp) of groups over several components, with their root and their group's first one's."""
+    named = members.join(roots, members["sid"] == roots["node"], "left").select("token", "path", "sid", "n", "fp", F.coalesce("root", "sid").alias("root"))
+    groups = named.groupBy("token").agg(F.min(F.struct("sid", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    return cut(named.join(groups.where("low < high").select("token", F.col("head.root").alias("usual"), "size"), "token"))
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, num: int = 4, den: int = 5, reach: int = WIDE) -> DataFrame:
+    """key and component_id of every row: the smallest key reachable over pairs of Jaccard num/den or more.
+
+    The sets are of runs of ``words`` words, by their XXH64; a shorter text is one run.
+    Texts without words, null or empty, link with each other; equal sets are one node.
+    No pair below the similarity links.  A pair at it is missed where no least hash is
+    shared or the fingerprints differ in more than ``reach`` bits, well under one in a
+    hundred, less the more similar.  Each set is first held against the first of each
+    group; then only pairs across the components found can change the outcome, so a
+    large group of near copies costs pairs in proportion to its members.
+    """
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    marked = stored(rows.mapInArrow(_sketches(words), f"key {rows.schema['key'].dataType.simpleString()}, sid long, n int, fp long, least array<long>"))
+    nodes = marked.groupBy("sid", "n", "fp", "least").agg(F.min("key").alias("first"))
+    postings = nodes.select("sid", "n", "fp", F.explode("least").alias("token"))
+    heads = postings.groupBy("token").agg(F.min(F.struct("sid", "n", "fp")).alias("e"), F.max("sid").alias("last"))
+    shared = stored(postings.join(heads.where("e.sid < last").drop("last"), "token"))
+    near = _maybe(F.col("n"), F.col("fp"), F.col("e.n"), F.col("e.fp"), reach, num, den)
+    edges = _similar(shared.where((F.col("sid") > F.col("e.sid")) & near).select(F.col("sid").alias("a"), F.col("e.sid").alias("b")), rows, nodes, words, num, den)
+    roots = cut(connected_components(edges))
+    members, across = shared.select("token", F.array("token").alias("path"), "sid", "n", "fp"), None
+    for depth in range(1, DEPTH + 1):
+        mixed = _rooted(members, roots)
+        now = mixed.where(F.col("size") <= HOT) if depth < DEPTH else mixed
+        left = now.where("root <> usual").select("token", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "fp", "root")))
+        once = (F.col("root") == F.col("usual")) | (F.col("sid") < F.col("l_sid"))
+        met = left.join(now, "token").where((F.col("root") != F.col("l_root")) & once & _maybe(F.col("l_n"), F.col("l_fp"), F.col("n"), F.col("fp"), reach, num, den))
+        met = met.select(F.greatest("sid", "l_sid").alias("a"), F.least("sid", "l_sid").alias("b"))
+        across = met if across is None else across.unionByName(met)
+        hot = mixed.where(F.col("size") > HOT)
+        if depth == DEPTH or not hot.take(1):
+            break
+        more = hot.join(nodes.select("sid", "least"), "sid").select("path", "sid", "n", "fp", F.explode(F.array_except("least", "path")).alias("added"))
+        longer = F.sort_array(F.array_append("path", F.col("added")))
+        members = more.select(longer.alias("path"), "sid", "n", "fp").withColumn("token", F.xxhash64("path")).distinct()
+    roots = cut(connected_components(edges.unionByName(_similar(across, rows, nodes, words, num, den))))
+    named = cut(nodes.join(roots, nodes["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.select(F.col("key").alias(key), "sid").join(named.join(least, "root").select("sid", "component_id"), "sid").select(key, "component_id")
+
+
+def _firsts(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    first = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
+    return docs.join(first, docs[key].eqNullSafe(first["_first"]), "left_semi")
+
+
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of the smallest key of each component of near copies, columns unchanged.
+    """The row of the smallest key of each component within 3 bits, columns unchanged.
 
     Rows that repeat this key in one component all stay.
     """
-    first = simhash_groups(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
-    return docs.join(first, docs[key].eqNullSafe(first["_first"]), "left_semi")
+    return _firsts(docs, simhash_groups(docs, key, text), key)
+
+
+def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The row of the smallest key of each component of ``similar_groups``, columns unchanged.
+
+    Rows that repeat this key in one component all stay.
+    """
+    return _firsts(docs, similar_groups(docs, key, text, **options), key)
