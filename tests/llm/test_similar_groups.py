@@ -3,7 +3,11 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from tidewell.llm import simhash
 
 
 def shingle_set(text):
@@ -11,7 +15,11 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_stage_drops_all_pairs_of_jaccard_four_fifths(spark):
+@pytest.mark.parametrize("small, sets, hot", [(32, 1024, 4000), (2, 4, 12)])
+def test_stage_drops_all_pairs_of_jaccard_four_fifths(spark, monkeypatch, small, sets, hot):
+    """Also where groups are compared in blocks and dealt again by more hashes."""
+    for name, value in (("SMALL", small), ("SETS", sets), ("HOT", hot)):
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(11)
     texts = [None, "", "  ", "one two", "One  two", "one two three four five"]
     for _ in range(25):
@@ -33,3 +41,22 @@ def test_stage_drops_all_pairs_of_jaccard_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect()}
     assert found == set(least)
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 200, rng.integers(1, 90))) for _ in range(30)]
+    for width in (7, 4096):
+        found = simhash._shared_counts(sets[:12], sets[12:], width)
+        assert found.tolist() == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
+
+
+def test_ring_never_drops_a_pair_within_reach(spark):
+    """The pigeonring principle: every pair within the reach holds a chain within its budgets."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    values = [sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 40))) for _ in range(2000)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    kept = {r["x"] for r in spark.createDataFrame([(v,) for v in signed], "x long").where(simhash.on_ring(F.col("x"), 22)).collect()}
+    assert kept == {s for s, v in zip(signed, values) if v.bit_count() <= 22}

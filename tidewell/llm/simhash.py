@@ -41,8 +41,9 @@ BLOCK = 1 << 16
 SIMILAR_WORDS, SKETCH = 5, 8
 #: Bits in which fingerprints of similarity 0.8 may differ: 10 on average, 12 for sets of a few shingles, deviation 3.
 WIDE = 22
-#: Sets that share a hash and are held against each other; more of them are dealt again by two hashes, then by three.
-HOT, DEPTH = 2000, 3
+#: Groups of sets that share a hash: small ones are joined, larger ones compared in blocks of SETS, and those beyond
+#: HOT dealt again by two hashes, then by three.
+SMALL, SETS, HOT, DEPTH = 32, 1024, 4000, 3
 BROADCAST_ROWS = 400_000
 
 
@@ -250,21 +251,78 @@ def _maybe(n: Column, fp: Column, m: Column, gp: Column, reach: int, num: int, d
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & on_ring(fp.bitwiseXOR(gp), reach)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar; texts are read again for their sets only."""
-    pairs = cut(pairs.distinct())
-    used = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+def _sets(used: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """sid and hashes of the sets ``used``; texts are read again for these only."""
+    used = cut(used)
     sized = F.broadcast if used.count() <= BROADCAST_ROWS else lambda df: df
     firsts = nodes.join(sized(used), "sid", "left_semi").select(F.col("first").alias("first_key")).distinct()
     texts = rows.join(sized(firsts), rows["key"].eqNullSafe(F.col("first_key")), "left_semi").select("text")
     sets = texts.mapInArrow(_whole_sets(words), "sid long, hashes array<long>").join(sized(used), "sid", "left_semi")
-    sets = stored(sets.dropDuplicates(["sid"]))
+    return stored(sets.dropDuplicates(["sid"]))
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar."""
+    pairs = cut(pairs.distinct())
+    sets = _sets(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), rows, nodes, words)
     one, other = (sets.select(F.col("sid").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in ("a", "b"))
     both = pairs.join(one, "a").join(other, "b")
     similar = F.size(F.array_intersect("a_hashes", "b_hashes")) * (num + den) >= num * (F.size("a_hashes") + F.size("b_hashes"))
     return cut(both.where(similar).select("a", "b"))
 
 
+def _shared_counts(one: list[np.ndarray], other: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many hashes each of ``one`` shares with each of ``other``: products of incidence matrices, ``width`` hashes at a time."""
+    flat = [np.concatenate(x) for x in (one, other)]
+    row = [np.repeat(np.arange(len(x)), [len(h) for h in x]) for x in (one, other)]
+    known = np.intersect1d(*flat)
+    total = np.zeros((len(one), len(other)), np.float32)
+    at = [np.searchsorted(known, f) for f in flat]
+    real = [(a < len(known)) & (known[np.minimum(a, len(known) - 1)] == f) if len(known) else np.zeros(len(f), bool) for a, f in zip(at, flat)]
+    for start in range(0, len(known), width):
+        parts = []
+        for a, r, ok, x in zip(at, row, real, (one, other)):
+            here = ok & (a >= start) & (a < start + width)
+            m = np.zeros((len(x), min(width, len(known) - start)), np.float32)
+            m[r[here], a[here] - start] = 1
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _block_links(num: int, den: int):
+    """Links between the sets of a block outside their group's usual component and those of another block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            of = lambda t: [np.asarray(h, np.int64) for h in t["hashes"].to_pylist()]
+            one, other = of(left), of(right)
+            sid, root = ([t[c].to_numpy() for t in (left, right)] for c in ("sid", "root"))
+            size = [np.array([len(h) for h in x]) for x in (one, other)]
+            near = (_shared_counts(one, other) * (num + den) >= num * (size[0][:, None] + size[1])) & (root[0][:, None] != root[1])
+            for i in np.nonzero(near.any(axis=1))[0]:
+                at = np.nonzero(near[i])[0]
+                at = at[np.unique(root[1][at], return_index=True)[1]]  # one link to each component is enough
+                a += [sid[0][i]] * len(at)
+                b += sid[1][at].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _linked_in_blocks(groups: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) across the components of large groups (token, sid, root, usual, size), each pair counted in full."""
+    groups = groups.join(_sets(groups.select("sid").distinct(), rows, nodes, words), "sid")
+    blocks = F.ceil(F.col("size") / F.lit(SETS)).cast("int")
+    own, every = F.pmod(F.xxhash64("sid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    columns = ["token", "one", "other", "sid", "root", "hashes"]
+    left = groups.where("root <> usual").withColumn("one", own).withColumn("other", every).select(*columns)
+    right = groups.withColumn("other", own).withColumn("one", every).select(*(F.col(c).alias(c) for c in columns))
+    by = ("token", "one", "other")
+    return cut(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_block_links(num, den), "a long, b long"))
+
+
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members`` (token, path, sid, n, fp) of groups over several components, with their root and their group's first one's."""
     named = members.join(roots, members["sid"] == roots["node"], "left").select("token", "path", "sid", "n", "fp", F.coalesce("root", "sid").alias("root"))
@@ -280,8 +338,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     No pair below the similarity links.  A pair at it is missed where no least hash is
     shared or the fingerprints differ in more than ``reach`` bits, well under one in a
     hundred, less the more similar.  Each set is first held against the first of each
-    group; then only pairs across the components found can change the outcome, so a
-    large group of near copies costs pairs in proportion to its members.
+    group; then only pairs across the components found can change the outcome.  In
+    large groups these are counted block by block, and only links leave a block.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     marked = stored(rows.mapInArrow(_sketches(words), f"key {rows.schema['key'].dataType.simpleString()}, sid long, n int, fp long, least array<long>"))
@@ -292,10 +350,12 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     near = _maybe(F.col("n"), F.col("fp"), F.col("e.n"), F.col("e.fp"), reach, num, den)
     edges = _similar(shared.where((F.col("sid") > F.col("e.sid")) & near).select(F.col("sid").alias("a"), F.col("e.sid").alias("b")), rows, nodes, words, num, den)
     roots = cut(connected_components(edges))
-    members, across = shared.select("token", F.array("token").alias("path"), "sid", "n", "fp"), None
+    members, across, links = shared.select("token", F.array("token").alias("path"), "sid", "n", "fp"), None, edges
     for depth in range(1, DEPTH + 1):
         mixed = _rooted(members, roots)
-        now = mixed.where(F.col("size") <= HOT) if depth < DEPTH else mixed
+        large = mixed.where((F.col("size") > SMALL) & (F.lit(depth == DEPTH) | (F.col("size") <= HOT)))
+        links = links.unionByName(_linked_in_blocks(large, rows, nodes, words, num, den))
+        now = mixed.where(F.col("size") <= SMALL)
         left = now.where("root <> usual").select("token", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "fp", "root")))
         once = (F.col("root") == F.col("usual")) | (F.col("sid") < F.col("l_sid"))
         met = left.join(now, "token").where((F.col("root") != F.col("l_root")) & once & _maybe(F.col("l_n"), F.col("l_fp"), F.col("n"), F.col("fp"), reach, num, den))
@@ -307,7 +367,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         more = hot.join(nodes.select("sid", "least"), "sid").select("path", "sid", "n", "fp", F.explode(F.array_except("least", "path")).alias("added"))
         longer = F.sort_array(F.array_append("path", F.col("added")))
         members = more.select(longer.alias("path"), "sid", "n", "fp").withColumn("token", F.xxhash64("path")).distinct()
-    roots = cut(connected_components(edges.unionByName(_similar(across, rows, nodes, words, num, den))))
+    roots = cut(connected_components(links.unionByName(_similar(across, rows, nodes, words, num, den))))
     named = cut(nodes.join(roots, nodes["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.select(F.col("key").alias(key), "sid").join(named.join(least, "root").select("sid", "component_id"), "sid").select(key, "component_id")
