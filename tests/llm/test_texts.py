@@ -341,13 +341,40 @@ def test_field_learns_the_patterns_and_skips_nothing():
         words[rng.randrange(20)] = rng.choice([f"{rng.getrandbits(160):040x}", "192.168.0.1", str(rng.randrange(10_000)), "AKIA" + "".join(rng.choice("ABCDEFGHJK234567") for _ in range(16))])
         texts.append(" ".join(words))
     field = secret_scan.fit_field([c for t in texts for c in secret_scan.training_chains(t)])
-    assert field.plain_is_outside
     tagged = secret_scan._chains(texts, field)
     secrets = [[(a, b) for a, b, _ in secret_scan.base_spans(t)] for t in texts]
     assert sum(t == s for t, s in zip(tagged, secrets)) >= 195
-    field.own[0] = field.own[0] + np.array([16.0, 16.0, 0.0])  # now plain tokens can be secrets: every line is decoded
-    assert not field.plain_is_outside
-    assert len(secret_scan._chains(texts, field)) == len(texts)
+
+
+def test_field_finds_secrets_outside_the_patterns():
+    """Formats and words that the fixed patterns miss, against things that only look alike."""
+    field = secret_scan.fit_field(secret_scan.made_chains())
+    rng = random.Random(99)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(alnum) for _ in range(n - 2)) + "7Q"
+    planted = []
+    for _ in range(40):
+        planted += [f"export {x}" for x in (f"pwd=Tr0ub4dor{rng.randrange(99)}", f"PWD: {key(10)}")]
+        planted += [f"the password is hunter{rng.randrange(999)}xyz ok", f"use ghp_{key(36)} here", f"pay sk_live_{key(24)} now", f"map AIza{key(35)}", f"Authorization: Bearer {key(40)}", "my passphrase: correcthorsebattery", f"passphrase = {key(9)}"]
+    plain = []
+    for _ in range(40):
+        plain += [f"id {rng.getrandbits(32):08x}-1234-4abc-8def-{rng.getrandbits(48):012x} done", f"on 2024-0{rng.randrange(1, 9)}-12 at 10:{rng.randrange(10, 59)}", f"see https://www.example.com/page/{rng.randrange(9999)} there", "forgot your password or the token of thanks", "a secret garden behind the house", f"call +44-{rng.randrange(100, 999)}-{rng.randrange(10**6, 10**7)}", f"bosbt.{rng.randrange(99)}@mail8.example.com wrote", f"from 10.0.{rng.randrange(255)}.7 in {rng.randrange(10**6)} steps"]
+    assert not any(secret_scan.base_spans(t) for t in planted if "passwd" not in t)
+    caught = [bool(x) for x in secret_scan._chains(planted, field)]
+    alarms = [bool(x) for x in secret_scan._chains(plain, field)]
+    print("caught", sum(caught) / len(caught), "false alarms", sum(alarms) / len(alarms), [p for p, c in zip(planted, caught) if not c][:5], [p for p, c in zip(plain, alarms) if c][:8])
+    assert sum(caught) >= 0.9 * len(caught)
+    assert sum(alarms) <= 0.05 * len(alarms)
+
+
+def test_skipped_lines_hold_nothing(monkeypatch):
+    """Lines without telling words and other tokens are outside, also when decoded."""
+    field = secret_scan.fit_field(secret_scan.made_chains())
+    assert field.plain_is_outside
+    lines = [t for t in ODD if t] + noise(200, 31) + ["٣٤٥٦٧٨ plain words", "Mixed CASE wOrds here: and \"quotes\" is = x"]
+    skipping = secret_scan._chains(lines, field)
+    monkeypatch.setattr(secret_scan.Field, "plain_is_outside", False)
+    assert secret_scan._chains(lines, field) == skipping
 
 
 # languages and toxicity

@@ -301,11 +301,23 @@ def _block_links(num: int, den: int):
             sid, root = ([t[c].to_numpy() for t in (left, right)] for c in ("sid", "root"))
             size = [np.array([len(h) for h in x]) for x in (one, other)]
             near = (_shared_counts(one, other) * (num + den) >= num * (size[0][:, None] + size[1])) & (root[0][:, None] != root[1])
-            for i in np.nonzero(near.any(axis=1))[0]:
-                at = np.nonzero(near[i])[0]
-                at = at[np.unique(root[1][at], return_index=True)[1]]  # one link to each component is enough
-                a += [sid[0][i]] * len(at)
-                b += sid[1][at].tolist()
+            # a spanning forest over the components that meet here: one link fewer than there are
+            roots, of_root = np.unique(np.concatenate(root), return_inverse=True)
+            i, j = np.nonzero(near)
+            u, v = of_root[: len(one)][i], of_root[len(one) :][j]
+            pick = np.full((len(roots), len(roots)), -1)
+            pick[u, v] = pick[v, u] = np.arange(len(i))
+            new = np.ones(len(roots), bool)
+            for start in np.unique(u):
+                front = [start] * bool(new[start])
+                new[start] = False
+                while front:
+                    found = pick[front.pop()]
+                    near_by = np.nonzero(new & (found >= 0))[0]
+                    new[near_by] = False
+                    a += sid[0][i[found[near_by]]].tolist()
+                    b += sid[1][j[found[near_by]]].tolist()
+                    front += near_by.tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -339,7 +351,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     shared or the fingerprints differ in more than ``reach`` bits, well under one in a
     hundred, less the more similar.  Each set is first held against the first of each
     group; then only pairs across the components found can change the outcome.  In
-    large groups these are counted block by block, and only links leave a block.
+    large groups these are counted block by block, and a block gives no more links
+    than it joins components.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     marked = stored(rows.mapInArrow(_sketches(words), f"key {rows.schema['key'].dataType.simpleString()}, sid long, n int, fp long, least array<long>"))
