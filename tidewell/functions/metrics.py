@@ -57,49 +57,70 @@ def second_lag_difference(x: np.ndarray) -> np.ndarray:
     return x[2:] - x[:-2]
 
 
-def amplitude_loss(out: np.ndarray, target: np.ndarray) -> float:
-    """Distance of the normalised cross-correlation from the target's normalised auto-correlation."""
-    n = len(out)
-    ft, fo = np.fft.rfft(target, 2 * n), np.fft.rfft(out, 2 * n)
-    own, cross = np.fft.irfft(ft * ft.conj()), np.fft.irfft(ft * fo.conj())
-    norm_t, norm_o = np.sqrt((target**2).sum()), np.sqrt((out**2).sum())
-    scale = max(norm_t * norm_t, _SMALL), max(norm_t * norm_o, _SMALL)
-    return float(np.sqrt(np.mean((own / scale[0] - cross / scale[1]) ** 2)))
-
-
-def shift_loss(out: np.ndarray, target: np.ndarray) -> float:
-    """How far the softmax of the differences is from uniform."""
-    d = np.abs(out - target)
+# Each compares a first series with a second one, whose own spectrum or correlation is the measure.
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sums of a[t + lag] b[t] over all lags, from -(n - 1) to n - 1."""
+    n = len(a)
+    size = 1 << (2 * n - 1).bit_length()
+    full = np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size).conj(), size)
+    return np.roll(full, n - 1)[: 2 * n - 1]
+
+
+def amplitude_loss(first: np.ndarray, second: np.ndarray) -> float:
+    """Mean distance, over all lags, of the second's normalised auto-correlation from the normalised cross-correlation."""
+    long_a, long_b = np.sqrt((first**2).sum()), np.sqrt((second**2).sum())
+    own = _correlation(second, second) / (long_b**2 or 1e-9)
+    cross = _correlation(second, first) / (long_a * long_b or 1e-9)
+    return float(np.abs(own - cross).mean())
+
+
+def shift_loss(first: np.ndarray, second: np.ndarray) -> float:
+    """How far the softmax of the signed differences is from uniform, summed over the series."""
+    d = first - second
     e = np.exp(d - d.max())
-    return float(len(d) * np.abs(1.0 / len(d) - e / e.sum()).mean())
+    return float(np.abs(1.0 / len(d) - e / e.sum()).sum())
+
 
+def phase_loss(first: np.ndarray, second: np.ndarray) -> float:
+    """Spectrum distance at the second's dominant frequencies plus the first's strength at all others.
 
-def phase_loss(out: np.ndarray, target: np.ndarray, top: int = 10) -> float:
-    """Spectrum distance at the target's strongest frequencies and strength at the others."""
-    ft, fo = np.fft.rfft(target), np.fft.rfft(out)
-    strong = np.zeros(len(ft), bool)
-    strong[np.argsort(-np.abs(ft))[:top]] = True
-    return float((np.abs(ft - fo)[strong].sum() + np.abs(fo)[~strong].sum()) / len(ft))
+    Dominant are the mean, powers above the length and the floor(sqrt(n)) strongest.
+    Each part is an average over its own frequencies; the sum is divided by sqrt(n).
+    """
+    n, fa, fb = len(first), np.fft.fft(first), np.fft.fft(second)
+    power = np.abs(fb) ** 2
+    dominant = power > n
+    dominant[np.argsort(-power, kind="stable")[: int(np.sqrt(n))]] = True
+    dominant[0] = True
+    near = np.abs(fa - fb)[dominant].mean()
+    rest = np.abs(fa)[~dominant].mean() if not dominant.all() else 0.0
+    return float((near + rest) / np.sqrt(n))
 
 
-def tildeq(out: np.ndarray, target: np.ndarray) -> float:
-    return 0.5 * phase_loss(out, target) + 0.5 * shift_loss(out, target) + 0.01 * amplitude_loss(out, target)
+def tildeq(first: np.ndarray, second: np.ndarray) -> float:
+    return 0.5 * phase_loss(first, second) + 0.5 * shift_loss(first, second) + 0.01 * amplitude_loss(first, second)
 
 
-def trend(target: np.ndarray, out: np.ndarray, alpha: float = 0.5) -> float:
-    """Error of differences, weighted where the direction is wrong, and 1 less the slopes' correlation."""
-    dt, do = np.diff(target), np.diff(out)
-    weighted = float((np.abs(dt - do) * np.where(np.sign(dt) == np.sign(do), 1.0, 2.0)).mean())
-    a, b = second_lag_difference(target), second_lag_difference(out)
-    scale = np.sqrt((a**2).sum() * (b**2).sum())
-    return alpha * weighted + (1 - alpha) * (1.0 - float((a * b).sum() / scale) if scale > 0 else 1.0)
+def trend(first: np.ndarray, second: np.ndarray, alpha: float = 0.5) -> float:
+    """Errors weighed by how far the steps disagree, and the distance times 1 less the correlation of the slopes."""
+    agree = np.tanh(np.diff(first) * np.diff(second))
+    stepped = float((np.abs(second - first)[1:] * (1.0 - agree)).mean())
+    a, b = (x - x.mean() for x in (second_lag_difference(first), second_lag_difference(second)))
+    along = float((a * b).sum() / (max(1e-8, np.sqrt((a**2).sum())) * max(1e-8, np.sqrt((b**2).sum()))))
+    return stepped + alpha * (1.0 - along) * float(np.sqrt(((first - second) ** 2).sum()))
 
 
-LOSSES = {"TILDEQ": tildeq, "TILDEQ_AMP": amplitude_loss, "TILDEQ_ASHIFT": shift_loss, "TILDEQ_PHASE": phase_loss, "TREND": lambda out, target: trend(target, out)}
+#: By (outputs, targets): the targets are the first series and the outputs the second.
+LOSSES = {
+    "TILDEQ": lambda out, target: tildeq(target, out), "TILDEQ_AMP": lambda out, target: amplitude_loss(target, out), "TILDEQ_ASHIFT": lambda out, target: shift_loss(target, out),
+    "TILDEQ_PHASE": lambda out, target: phase_loss(target, out), "TREND": lambda out, target: trend(target, out),
+}
 
 
 def series_losses(df, group: list[str], order: str, target: str, output: str, names: list[str] | None = None):
-    """Losses of each group's two series in the given order (nulls dropped); groups under 3 rows give null."""
+    """Losses of each group's two series in the given order (nulls dropped); groups under 4 rows, too short to compare, give 0."""
     names = names or list(LOSSES)
     key = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group)
 
@@ -108,7 +129,7 @@ def series_losses(df, group: list[str], order: str, target: str, output: str, na
 
         rows = pdf.dropna(subset=[target, output]).sort_values(order)
         y, p = rows[target].to_numpy(float), rows[output].to_numpy(float)
-        found = {n.lower(): (LOSSES[n](p, y) if len(y) > 2 else None) for n in names}
+        found = {n.lower(): (LOSSES[n](p, y) if len(y) > 3 else 0.0) for n in names}
         return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in group}, **found}])
 
     schema = key + ", " + ", ".join(f"{n.lower()} double" for n in names)

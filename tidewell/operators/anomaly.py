@@ -101,17 +101,18 @@ def windows_of(x: np.ndarray, size: int, step: int = 1) -> np.ndarray:
 
 
 def stretch(score: np.ndarray, length: int) -> np.ndarray:
-    """A score per row from fewer scores, by a line between them; absolute values."""
-    if len(score) == length:
-        return np.abs(score)
-    return np.abs(np.interp(np.linspace(0, 1, length), np.linspace(0, 1, len(score)), score)) if len(score) else np.zeros(length)
+    """A score per row from fewer scores, by a line between them; negative scores become 0."""
+    if len(score) != length:
+        score = np.interp(np.linspace(0, 1, length), np.linspace(0, 1, len(score)), score) if len(score) else np.zeros(length)
+    return np.maximum(score, 0.0)
 
 
-def robust_distance(x: np.ndarray, seed: int = 1, tries: int = 20, refine: int = 10) -> np.ndarray:
+def robust_distance(x: np.ndarray, seed: int = 1, tries: int = 20, refine: int = 10, best_few: int = 3) -> np.ndarray:
     """Squared Mahalanobis distances from the centre of the half of rows with the least spread.
 
     Random starts are concentrated: the nearest half gives the next centre and
-    covariance, until the determinant no longer falls.
+    covariance.  All starts take two such steps, then the best few go on until the
+    determinant no longer falls.
     """
     n, d = x.shape
     half, rng, best = max(d + 1, (n + d + 1) // 2), np.random.default_rng(seed), None
@@ -126,15 +127,18 @@ def robust_distance(x: np.ndarray, seed: int = 1, tries: int = 20, refine: int =
 
     if half >= n:
         return distance(*centre(x))
-    for _ in range(tries):
-        mean, cov = centre(x[rng.choice(n, min(n, d + 1), replace=False)])
-        last = np.inf
+
+    def nearer(mean, cov):
+        mean, cov = centre(x[np.argpartition(distance(mean, cov), half - 1)[:half]])
+        return np.linalg.slogdet(cov)[1], mean, cov
+
+    starts = [nearer(*nearer(*centre(x[rng.choice(n, min(n, d + 1), replace=False)]))[1:]) for _ in range(tries)]
+    for last, mean, cov in sorted(starts, key=lambda s: s[0])[:best_few]:
         for _ in range(refine):
-            mean, cov = centre(x[np.argpartition(distance(mean, cov), half - 1)[:half]])
-            size = np.linalg.slogdet(cov)[1]
-            if not size < last - 1e-9:
+            now = nearer(mean, cov)
+            if not now[0] < last - 1e-9:
                 break
-            last = size
+            last, mean, cov = now
         if best is None or last < best[0]:
             best = last, mean, cov
     return distance(best[1], best[2])
@@ -199,16 +203,19 @@ def fft_score(x, t, size):
 
 
 def saliency(x: np.ndarray, width: int = 3) -> np.ndarray:
-    """The series rebuilt from what its log spectrum has beyond its local average."""
+    """The series rebuilt from what its log spectrum has beyond the mean of its last ``width`` values (of fewer at the start)."""
     spectrum = np.fft.fft(x)
     size = np.maximum(np.abs(spectrum), 1e-8)
     log = np.log(size)
-    local = np.convolve(np.pad(log, (width // 2, width // 2), mode="edge"), np.ones(width) / width, mode="valid")[: len(log)]
-    return np.abs(np.fft.ifft(spectrum / size * np.exp(log - local)))
+    total = np.concatenate(([0.0], np.cumsum(log)))
+    end = np.arange(1, len(log) + 1)
+    start = np.maximum(0, end - width)
+    return np.abs(np.fft.ifft(spectrum / size * np.exp(log - (total[end] - total[start]) / (end - start))))
 
 
 def saliency_score(x, t, size):
-    return robust_distance(windows_of(saliency(x), size))
+    """Robust distances of the plain windows: the saliency map is offered beside this score and takes no part in it."""
+    return robust_distance(windows_of(x, size))
 
 
 def matrix_profile(x, t, size):

@@ -34,12 +34,16 @@ def database_lookup(df, ctx, lookup_table_name, lookup_keys, lookup_items, outpu
     return lookup(df, table, listed(lookup_keys), listed(lookup_items), output_items)
 
 
+#: The companies of the sample table.
+COMPANIES = [("ABC", "USD", 100, "2005-02-01 07:00:00"), ("ACME", "CAD", 120, "1988-01-01 07:00:00"), ("JDI", "USD", 352, "1967-02-28 09:00:00")]
+
+
 @operator("LookupCompany", outputs=("output_items",))
-def lookup_company(df, ctx, lookup_items=None, output_items=None, company_code="company_code"):
-    rows = [("ABC", "United States", 1500), ("ACME", "Canada", 100), ("JDI", "Mexico", 2500)]
-    table = df.sparkSession.createDataFrame(rows, "company_code string, country string, employees int")
-    items = listed(lookup_items) or ["country", "employees"]
-    return lookup(df, table.withColumnRenamed("company_code", company_code), [company_code], items, output_items)
+def lookup_company(df, ctx, lookup_items=None, output_items=None, company="company"):
+    """currency_code, employee_count and inception_date of the row's company; null for companies unknown."""
+    rows = df.sparkSession.createDataFrame(COMPANIES, "code string, currency_code string, employee_count int, inception_date string")
+    table = rows.withColumn("inception_date", F.col("inception_date").cast("timestamp_ntz")).withColumnRenamed("code", company)
+    return lookup(df, table, [company], listed(lookup_items) or ["currency_code", "employee_count", "inception_date"], output_items)
 
 
 def asof_join(left: DataFrame, right: DataFrame, entity: str, ts: str, right_ts: str, items: list[str], tolerance: timedelta | None = None, direction: str = "backward") -> DataFrame:

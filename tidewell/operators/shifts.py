@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.catalog import operator
 from tidewell.functions.scalars import micros
-from tidewell.operators.joins import asof_join
+from tidewell.operators.joins import small
 
 HOUR = 3_600_000_000
 
@@ -111,10 +111,20 @@ def shift_calendar(df, ctx, shift_definition, period_start_date="shift_start_dat
 
 
 def tag_by_calendar(df: DataFrame, ctx, table: DataFrame) -> DataFrame:
-    """Each row with the last row begun of a calendar table that holds for all entities."""
+    """Each row with the last row begun of a calendar table that holds for all entities.
+
+    Calendar rows are dealt by the days that they hold for, the last one up to the
+    latest time in ``df``, so the rows of a day need not meet in one task.
+    """
     items = ["shift_day", "shift_id", "shift_start_date", "shift_end_date"]
-    one = df.withColumn("_all", F.lit(1))
-    return asof_join(one, table.withColumn("_all", F.lit(1)).withColumn("_s", F.col("shift_start_date")), "_all", ctx.timestamp, "_s", items).drop("_all")
+    latest = df.agg(F.max(ctx.timestamp)).first()[0]
+    # a row per shift of the calendar, which does not grow with the readings
+    begun = table.select(*items, F.col("shift_start_date").alias("_from"), F.lead("shift_start_date").over(Window.orderBy("shift_start_date")).alias("_to"))
+    until = F.greatest(F.col("_from"), F.coalesce("_to", F.lit(latest).cast("timestamp_ntz")))
+    days = begun.where("_from is not null").select("*", F.explode(F.sequence(F.to_date("_from"), F.to_date(until))).alias("_day"))
+    now = F.col(ctx.timestamp)
+    holds = (F.to_date(now) == F.col("_day")) & (now >= F.col("_from")) & (F.col("_to").isNull() | (now < F.col("_to")))
+    return df.join(small(days), holds, "left").drop("_from", "_to", "_day")
 
 
 def split_by_shifts(df: DataFrame, start: str, end: str, shifts: list[Shift]) -> DataFrame:
