@@ -10,7 +10,8 @@ Two sets of n and m words with Jaccard similarity of num/den or more share at le
 - the rarest n - ceil(num n / den) + 1 words of each share one (prefix filter);
 - from a shared word at places i and j on, enough are left: min(n - i, m - j) >= need
   (positional filter), which also bounds the lengths (length filter);
-- the 64-bit sketches of the two sets differ in n + m - 2 need bits at most.
+- at most n + m - 2 need words are in one set alone, and the 64-bit parity sketches of
+  the two sets differ in no more bits than that.
 
 What passes is verified on the full sets of words.  A line goes if an earlier line,
 by (document, line number), is that similar, whether or not that line stays itself.
@@ -129,7 +130,7 @@ def _gone(rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     keyed = _lines(rows, bits).select("pos", _keys(F.col("line"), classes).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.floor((n * num + den - 1) / F.lit(den)).cast("int") + 1)
-    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     tokens = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     placed = stored(keyed.select("pos", F.xxhash64("keys").alias("s"), n.alias("n"), sketch.alias("b"), tokens.alias("tokens")))
     # one row per set, known by the hash of its keys, its size and its sketch, and named by its first position;
