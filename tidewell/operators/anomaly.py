@@ -285,7 +285,9 @@ def score_series(df: DataFrame, ctx, item: str, names: list[str], run: Callable,
             out[n] = stretch(np.asarray(s, float), len(x))
         return out.drop_duplicates("_t")
 
-    scored = rows.groupBy("_e").applyInPandas(group, f"_e {rows.schema['_e'].dataType.simpleString()}, _t {rows.schema['_t'].dataType.simpleString()}, {fields}")
+    # dealt by a fixed number: adaptive merging goes by bytes and would put work of minutes in one task
+    spread = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_e")
+    scored = spread.groupBy("_e").applyInPandas(group, f"_e {rows.schema['_e'].dataType.simpleString()}, _t {rows.schema['_t'].dataType.simpleString()}, {fields}")
     scored = scored.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
     joined = df.join(scored, (F.col(ctx.entity) == F.col("_e")) & (F.col(ctx.timestamp) == F.col("_t")), "left")
     return joined.drop("_e", "_t")
