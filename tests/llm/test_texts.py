@@ -120,6 +120,17 @@ def test_exact_dedup(spark, shard_keys):
             assert bytes(r["digest"]) == hashlib.sha256(lowered(texts[r["doc_id"]]).encode()).digest()
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_exact_dedup_is_the_same_whatever_counts_as_hot(spark, monkeypatch, share):
+    texts = ["copy"] * 30 + ["Copy"] * 5 + ["two", "TWO", None, ""] + noise(40, 6)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+    found = exact_dedup.exact_dedup(rows(spark, texts)).collect()
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(lowered(t), []).append(i)
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == sorted((i, max(g), len(g)) for g in groups.values() for i in g)
+
+
 def test_exact_dedup_empty_and_null_keys(spark):
     docs = spark.createDataFrame([(None, "a"), (3, "A"), (None, "b")], "doc_id long, text string")
     found = exact_dedup.exact_dedup(docs).collect()

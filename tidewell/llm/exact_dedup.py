@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import cut, lower_ascii, mix64
 
 GAMMA = 2.0
+#: A group with more than this part of all rows is hot; so there are fewer hot groups than its inverse.
+HOT_SHARE = 1e-4
 INDEX_SCHEMA = "shard int, levels binary, words binary, digests binary, winner binary, copies binary"
 
 
@@ -178,7 +180,9 @@ def exact_dedup(
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so
     null and empty texts are one group.  Of equal texts the row with the largest
-    key stays; rows that repeat that key all count as kept.  ``is_history`` marks
+    key stays; rows that repeat that key all count as kept.  Groups that hold over
+    ``HOT_SHARE`` of all rows, at most 10,000 by that bound, reach their rows by a
+    broadcast, so no task takes all copies of a text.  ``is_history`` marks
     the rows that are indexed first (default: half of them, by a hash of the key);
     the result does not depend on it.  Returns key, keep_id, group_size, kept and
     the digest bytes, one row per row of ``docs``; an empty table gives no rows.
@@ -188,12 +192,14 @@ def exact_dedup(
     digests = cut(rows.select("doc_id", "digest", "old"))
     # one pass aggregates both parts: a row per digest and part
     parts = cut(digests.groupBy("digest", "old").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("copies")))
-    shards = max(8, -(-parts.count() // shard_keys))
+    distinct, total = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    shards = max(8, -(-distinct // shard_keys))
     history, incoming = (parts.where(F.col("old") == old).drop("old") for old in (True, False))
-    groups = winners(history, incoming, shards)
+    groups = cut(winners(history, incoming, shards))
+    hot = F.broadcast(groups.where(F.col("group_size") > total * HOT_SHARE).where("group_size > 1"))
+    rest = digests.drop("old").join(hot.select("digest"), "digest", "left_anti").join(groups, "digest")
     return (
-        digests.drop("old")
-        .join(groups, "digest")
+        digests.drop("old").join(hot, "digest").unionByName(rest)
         .select(
             F.col("doc_id").alias(key), "keep_id", "group_size",
             F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "digest", "member",
