@@ -18,7 +18,7 @@ from tidewell.operators import models as ML
 from tidewell.operators import shifts as S
 from tidewell.operators import windows as W
 from tidewell.operators.aggregate import (
-    Aggregate, Granularity, aggregate, aggregate_items, histogram, occupancy_count, occupancy_duration, occupancy_location, query_column_aggregate, query_time_agg, read_agg, resample, time_in_state,
+    Aggregate, Granularity, aggregate, aggregate_items, complex_aggregate, data_aggregator, histogram, occupancy_count, occupancy_duration, occupancy_location, query_column_aggregate, query_time_agg, read_agg, resample, time_in_state,
 )
 from tidewell.plans.pipeline import CalcPipeline, EntityType
 from tidewell.sources import tables as T
@@ -626,3 +626,169 @@ def pipeline_derived(spark, sf):
     steps = [Step("AlertHighValue", input_item="excess", upper_threshold=30, alert_name="hot"), Step("IfThenElse", conditional_expression="${value} > 50", true_expression="${value} - 50", false_expression="0.0", output_item="excess")]
     kind = EntityType("events", events(spark, sf, "value"), "user_id", "ts", {"value": "NUMBER"}, steps=steps, alerts=["hot"])
     return CalcPipeline(kind).execute().derived.select("key", "user_id", "ts", "value_n", "value_b")
+
+
+# steps by their catalog names
+
+
+_VIEWS = "with v as (select event_id, user_id, ts, case when event_type <> 'view' then value end as v from events)"
+_GAPS = """, n as (select *, case when v is not null then {'v': v, 't': epoch_us(ts)} end as p from v),
+    w as (select *, last_value(p ignore nulls) over (partition by user_id order by ts rows between unbounded preceding and current row) as a,
+      first_value(p ignore nulls) over (partition by user_id order by ts rows between current row and unbounded following) as b from n)
+    select event_id, round(coalesce(a.v + (b.v - a.v) * ((epoch_us(ts) - a.t) / nullif(b.t - a.t, 0)), a.v), 6) as y from w"""
+ORACLE_SQL["interpolate_gaps"] = _VIEWS + _GAPS
+
+
+@query("interpolator_missing", _VIEWS + _GAPS)
+def interpolator_missing(spark, sf):
+    df = events(spark, sf).withColumn("v", F.when(F.col("event_type") == "view", -1.0).otherwise(F.col("value")))
+    return Step("Interpolator", input_item="v", output_item="y", missing=-1.0).apply(df, CTX).select("event_id", F.round("y", 6).alias("y"))
+
+
+ORACLE_SQL["occupancy_location"] = """with c as (select user_id, date_trunc('day', ts)::timestamp as ts, event_type as x, user_id % 3 as y, count(*) as n from events where event_type is not null group by all)
+    select user_id, ts, to_json({'data': list({'x': x, 'y': y, 'count': n} order by x, y, n)})::varchar as places from c group by 1, 2"""
+ORACLE_SQL["agg_histogram"] = """with e as (select user_id, min(value) as a, max(value) as b, count(value) as n, count(*) as rows from events group by 1),
+    c as (select user_id, least(floor((value - a) / (b - a) * 10), 9)::int as i, count(*) as c from events join e using (user_id) where b > a group by 1, 2),
+    g as (select user_id, n, unnest(range(10)) as i from e where n = rows and b > a),
+    h as (select user_id, string_agg(round(coalesce(c, 0) * 10::double / n, 6)::varchar, ',' order by i) as t from g left join c using (user_id, i) group by 1)
+    select user_id, coalesce(t, '') as histogram from e left join h using (user_id)"""
+
+
+@query("time_in_shift", f"""with s as ({ORACLE_SQL['shift_identify']}),
+    x as (select event_id, user_id, ts, shift_day, shift_id, shift_start, case shift_id when '1' then shift_start + interval 510 minutes when '2' then shift_start + interval 7 hours else shift_start + interval 510 minutes end as shift_end,
+      case when event_type = 'click' then ts end as hit from s join events using (event_id))
+    select event_id, round((epoch_us(min(hit) over w) - epoch_us(shift_start)) / 6e7, 6) as time_to_first, round((epoch_us(shift_end) - epoch_us(max(hit) over w)) / 6e7, 6) as time_from_last
+    from x window w as (partition by user_id, shift_day, shift_id)""")
+def time_in_shift(spark, sf):
+    df = Step("IdentifyShiftFromTimestamp", shifts=SHIFTS).apply(events(spark, sf).withColumn("clicked", F.when(F.col("event_type") == "click", F.col("value"))), CTX)
+    out = Step("TimeToFirstAndLastInShift", input_item="clicked", bounds=("shift_start", "shift_end")).apply(df, CTX)
+    return out.select("event_id", F.round("time_to_first", 6).alias("time_to_first"), F.round("time_from_last", 6).alias("time_from_last"))
+
+
+@query("shift_split_step", f"select event_id, shift_day as day, shift_id as shift, shift_start, shift_end from ({ORACLE_SQL['shift_split']})")
+def shift_split_step(spark, sf):
+    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("value") * 600_000_000).cast("long") / F.lit(1e6))
+    step = Step("SplitDataByActiveShifts", start_timestamp="ts", end_timestamp="e", shifts=SHIFTS, shift_day="day", shift_id="shift")
+    return step.apply(events(spark, sf, "event_id", "value").withColumn("e", F.col("ts") + length), CTX).select("event_id", "day", "shift", "shift_start", "shift_end")
+
+
+def _activity_sql(code: str) -> str:
+    return f"""select user_id, greatest(s, p) as ts, round(round((epoch_us(e) - epoch_us(greatest(s, p))) / 1e6) / 60, 6) as minutes from (
+      select *, max(e) over (partition by user_id order by s, e desc rows between unbounded preceding and 1 preceding) as p
+      from (select user_id, ts as s, ts + to_microseconds(floor(value * 60000000 * 20)::bigint) as e from events where event_type = '{code}')) where p is null or e > p"""
+
+
+def _activities(spark, sf, *codes):
+    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("value") * 60_000_000 * 20).cast("long") / F.lit(1e6))
+    return events(spark, sf).where(F.col("event_type").isin(*codes)).select("user_id", F.col("event_type").alias("activity"), F.col("ts").alias("start_date"), (F.col("ts") + length).alias("end_date"))
+
+
+@query("activity_duration", f"with a as ({_activity_sql('click')}) select coalesce(e.user_id, a.user_id) as user_id, coalesce(e.ts, a.ts) as ts, e.event_id, a.minutes from events e full join a on e.user_id = a.user_id and e.ts = a.ts")
+def activity_duration(spark, sf):
+    ctx = Context("user_id", "ts", tables={"work": _activities(spark, sf, "click", "error")})
+    out = Step("ActivityDuration", table_name="work", activity_codes=["click"], activity_duration="minutes").apply(events(spark, sf, "event_id"), ctx)
+    return out.select("user_id", "ts", "event_id", F.round("minutes", 6).alias("minutes"))
+
+
+@query("activity_two_tables", f"""with a as ({_activity_sql('click')}), b as ({_activity_sql('error')}), k as (select user_id, ts from events union select user_id, ts from a union select user_id, ts from b)
+    select k.user_id, k.ts, e.event_id, a.minutes as click_minutes, b.minutes as error_minutes from k left join events e using (user_id, ts) left join a using (user_id, ts) left join b using (user_id, ts)""")
+def activity_two_tables(spark, sf):
+    ctx = Context("user_id", "ts", tables={c: _activities(spark, sf, c) for c in ("click", "error")})
+    out = Step("SampleActivityDuration", input_activities=["click", "error"], activity_duration=["click_minutes", "error_minutes"]).apply(events(spark, sf, "event_id"), ctx)
+    return out.select("user_id", "ts", "event_id", *(F.round(c, 6).alias(c) for c in ("click_minutes", "error_minutes")))
+
+
+@query("entity_data", "with s as (select user_id + 1 as user_id, ts, value as other from events where event_type = 'view') select coalesce(e.user_id, s.user_id) as user_id, coalesce(e.ts, s.ts) as ts, e.event_id, s.other from events e full join s on e.user_id = s.user_id and e.ts = s.ts")
+def entity_data(spark, sf):
+    source = events(spark, sf, "event_type", "value").where("event_type = 'view'").withColumn("owner", F.col("user_id") + 1)
+    ctx = Context("user_id", "ts", tables={"source": source})
+    return Step("GetEntityData", source_entity_type_name="source", key_map_column="owner", input_items=["value"], output_items=["other"]).apply(events(spark, sf, "event_id"), ctx)
+
+
+@query("merge_sample_series", "select user_id, ts, event_id, case when event_type = 'view' then value * 2 end as doubled from events")
+def merge_sample_series(spark, sf):
+    other = events(spark, sf).where("event_type = 'view'").select("user_id", "ts", (F.col("value") * 2).alias("v"))
+    ctx = Context("user_id", "ts", tables={"sample_time_series": other})
+    return Step("MergeSampleTimeSeries", input_items=["v"], output_items=["doubled"]).apply(events(spark, sf, "event_id"), ctx)
+
+
+@query("sql_columns", "select event_id, c.n as type_rows, c.top as type_top from events left join (select event_type, count(*) as n, max(value) as top from events where event_type <> 'view' group by 1) c using (event_type)")
+def sql_columns(spark, sf):
+    sql = f"select event_type, count(*) as n, max(value) as top from parquet.`{sf}/events.parquet` where event_type <> 'view' group by event_type"
+    return Step("NewColFromSql", sql=sql, names=["type_rows", "type_top"], join_on="event_type").apply(events(spark, sf, "event_id", "event_type"), CTX).select("event_id", "type_rows", "type_top")
+
+
+@query("load_and_concat", """select user_id, ts, event_id, null::double as more from events where event_type = 'click'
+    union all select user_id, ts, null, value from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' and event_type = 'error'""")
+def load_and_concat(spark, sf):
+    ctx = Context("user_id", "ts", tables={"extra": events(spark, sf)}, start=datetime(2024, 1, 5), end=datetime(2024, 1, 20))
+    step = Step("LoadTableAndConcat", table="extra", columns=["value"], names=["more"], where_clause="event_type = 'error'")
+    return step.apply(events(spark, sf).where("event_type = 'click'").select("user_id", "ts", "event_id"), ctx)
+
+
+@query("loader_zones", "select event_id, value * 2 as value, z as zone from events, (values ('+00:00'), ('+02:00')) t(z) where (z = '+00:00') = (event_type = 'view')")
+def loader_zones(spark, sf):
+    e = events(spark, sf)
+    frames = {"+00:00": e.where("event_type = 'view'"), "+02:00": e.where("event_type <> 'view'")}
+    out = T.run_loaders(frames, [lambda df: df.withColumn("value", F.col("value") * 2)], "zone")
+    return out.select("event_id", "value", "zone")
+
+
+@query("dimension_rows", "select c_custkey, c_name, c_mktsegment from customer where c_custkey in (1, 5, 9)")
+def dimension_rows(spark, sf):
+    return T.read_dimension(table(spark, sf, "customer"), [1, 5, 9], ["c_name", "c_mktsegment"], "c_custkey")
+
+
+@query("sql_read", "select o_orderstatus as status, count(*) as orders, max(o_orderdate)::timestamp as latest from orders group by 1")
+def sql_read(spark, sf):
+    return T.read_sql(spark, f"select o_orderstatus, count(*) as n, max(o_orderdate) as d from parquet.`{sf}/orders.parquet` group by 1", ["status", "orders", "latest"]).withColumn("latest", F.col("latest").cast("timestamp_ntz"))
+
+
+@query("delete_input", "select event_id, true as done from events where ts >= timestamp '2024-01-15'")
+def delete_input(spark, sf):
+    ctx = Context("user_id", "ts", end=datetime(2024, 1, 25))
+    return Step("DeleteInputData", older_than_days=10, output_item="done").apply(events(spark, sf, "event_id"), ctx).select("event_id", "done")
+
+
+@query("no_data_step", f"select user_id, ts, event_id, null::boolean as no_data_alert from events union all select user_id, ts, null, no_data_alert from ({ORACLE_SQL['alert_no_data']})")
+def no_data_step(spark, sf):
+    return Step("NoDataAlert", duration=24, duration_unit="HOURS", cooldown=12, cooldown_unit="HOURS").apply(events(spark, sf, "event_id"), CTX).select("user_id", "ts", "event_id", F.col("no_data_alert"))
+
+
+@query("expand_data", """with f as (select user_id, min(ts) as first from events where ts >= timestamp '2024-01-15' group by 1),
+    o as (select event_id, row_number() over (partition by user_id order by ts desc) as n from events join f using (user_id) where ts < first)
+    select event_id from events where ts >= timestamp '2024-01-15' union all select event_id from o where n <= 2""")
+def expand_data(spark, sf):
+    e = events(spark, sf)
+    ctx = Context("user_id", "ts", tables={"history": e})
+    return Step("DataExpanderTransformer", input_items=["value"], history_table="history", limit=2).apply(e.where(F.col("ts") >= F.lit(datetime(2024, 1, 15))), ctx).select("event_id")
+
+
+for _kind, _item in (("LookupOperator", "operator"), ("LookupStatus", "status")):
+    query(f"lookup_{_item}", ORACLE_SQL["scd_asof"].replace("c.state from", f"c.state as {_item} from"))(
+        lambda spark, sf, kind=_kind, item=_item: Step(kind).apply(events(spark, sf, "event_id"), Context("user_id", "ts", tables={f"widgets_dimension_{item}": _changes(spark, sf)})).select("event_id", item)
+    )
+
+_step("pipeline_expression", "select event_id, value * 3 - 1 as y, value as reading from events", [("PipelineExpression", {"expression": "${value} * 3 - 1", "name": "y"}), ("RenameCols", {"input_names": ["value"], "output_names": ["reading"]})], "event_id y reading")
+_simple("agg_hello_world", "HelloWorldAggregator", "max(value) - min(value)", wrap=True, expression="x.max() - x.min()")
+
+
+@query("agg_several", "select user_id, date_trunc('day', ts)::timestamp as ts, max(value) as value_max, min(value) as least, count(event_id) as event_id_count from events group by 1, 2")
+def agg_several(spark, sf):
+    return data_aggregator(events(spark, sf, "value", "event_id"), CTX, DAY, {"value": ["max", "min"], "event_id": ["count"]}, {("value", "min"): "least"})
+
+
+@query("agg_aligned", "select user_id, date_trunc('day', ts)::timestamp as ts, count(*) as n from events where ts >= timestamp '2024-01-06' group by 1, 2")
+def agg_aligned(spark, sf):
+    df = DAY.align(events(spark, sf, "event_id"), CTX, datetime(2024, 1, 5, 7))
+    return aggregate(df, CTX, DAY, [Aggregate("Count", "event_id", "n")])
+
+
+@query("agg_complex", "select user_id, date_trunc('month', ts)::timestamp as ts, round(max(value) - median(value), 6) as above, count(*) as n from events group by 1, 2")
+def agg_complex(spark, sf):
+    import pandas as pd
+
+    def spread(pdf):
+        return pd.DataFrame({"above": [pdf["value"].max() - pdf["value"].median()], "n": [len(pdf)]})
+
+    return complex_aggregate(events(spark, sf, "value"), CTX, Granularity("m", "MS"), spread, "above double, n long").withColumn("above", F.round("above", 6))
