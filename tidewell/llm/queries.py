@@ -116,8 +116,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their middle moved to the end, and back."""
+    from tidewell.llm.fill_in_middle import fill_in_middle, restored
+
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_secrets, op3_language, op4_line_dedup, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup)
+    f.__name__: f for f in (op1_top_k, op2_secrets, op3_language, op4_line_dedup, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup, op11_fill_in_middle)
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -142,6 +151,26 @@ ORACLE_SQL = {
                doc_id = max(doc_id) over w as kept, text_sha256
         from d window w as (partition by text_sha256)
     """,
+    "op11_fill_in_middle": """
+        with h as (
+            select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+                   list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('1:' || coalesce(doc_id::varchar, 'null')), i, 8))::bigint) as x
+            from documents
+        ), c as (
+            select doc_id, t, u, len(u) as n, least(x[1] % (len(u) + 1), x[2] % (len(u) + 1)) as a, greatest(x[1] % (len(u) + 1), x[2] % (len(u) + 1)) as b,
+                   case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or x[3] % 100 >= 90 then 'plain'
+                        when x[4] % 100 < 20 then 'spm' else 'psm' end as form
+            from h
+        ), p as (
+            select doc_id, n, t, form, array_to_string(u[:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf from c
+        )
+        select doc_id, n::bigint as n, form,
+               case when form <> 'plain' then length(pre)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+               sha256(t) as restored_sha256
+        from p
+    """,
     "op8_mixing": r"""
         with recursive sized as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
