@@ -1,0 +1,105 @@
+"""Collocations against a plain count, in all plans, and the query against its SQL."""
+
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tidewell.llm import collocations as C
+from tidewell.llm.queries import ORACLE_SQL, QUERIES
+
+
+def expected(rows, least=30, most=4, top=2000, share=(80, 100), scale=2_000_000):
+    counts, totals = {}, Counter()
+    for lang, text in rows:
+        f = counts.setdefault("und" if lang is None else lang, Counter())
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals["und" if lang is None else lang] += len(w)
+            f.update(tuple(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1))
+    out = []
+    for lang, f in counts.items():
+        candidates = [p for p, a in f.items() if len(p) > 1 and a >= least]
+        over = {}
+        for p in candidates:
+            for n in range(2, len(p)):
+                for i in range(len(p) - n + 1):
+                    over[p[i : i + n]] = max(over.get(p[i : i + n], 0), f[p])
+        found = []
+        for p in candidates:
+            if over.get(p, 0) * share[1] >= f[p] * share[0] and p in over:
+                continue
+            score, k = min((scale * f[p] // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -f[p], " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def made(n=300, seed=5):
+    rng = random.Random(seed)
+    words = ["a", "b", "New", "york", "city", "é", "\x1f", "한국", "x" * 80, "A", "\U0001f389", "q\x00"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "\n", ",", " \x0b"]) for _ in range(rng.randrange(40))) for _ in range(n)]
+    rows = [(rng.choice(["en", "en", "fr", None, "und"]), t) for t in texts]
+    return rows + [("en", "new york city " * 3000), ("en", None), (None, ""), ("fr", "  \t"), ("zz", "once"), ("en", "a" * 50_000)]
+
+
+@pytest.mark.parametrize("least, most, top, head", [(3, 4, 2000, 500), (3, 4, 7, 3), (2, 2, 50, 500), (5, 5, 2000, 0)])
+def test_equals_a_plain_count(spark, least, most, top, head):
+    rows = made()
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "lang string, text string, key string, word string").repartition(5)
+    found = C.collocations(docs, least=least, most_words=most, top=top, head_words=head).collect()
+    assert sorted(map(tuple, found)) == expected(rows, least, most, top)
+    assert len(found) > 10
+
+
+def test_no_candidates(spark):
+    docs = spark.createDataFrame([("en", "a b c"), (None, None)], "lang string, text string")
+    assert C.collocations(docs).count() == 0
+    assert C.collocations(docs.limit(0)).count() == 0
+
+
+def test_slices_rows_and_blocks_change_nothing(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefgh") for _ in range(5000)).encode() + b". " + b"ab " * 2000
+    whole = [w for part in C.tokens(text) for w in part]
+    ids = np.array([rng.randrange(0, 4) * rng.randrange(1, 70_000) for _ in range(20_000)] + [0], np.uint32)
+    def grams(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(C._rows(ids), pa.binary())], ["ids"])
+        total = Counter()
+        for out in C._counted_blocks(n, None)(iter([batch])):
+            total.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())))
+        return total
+    before = grams(3)
+    want = Counter(ids[i : i + 3].astype(">u4").tobytes() for i in range(len(ids) - 2) if ids[i : i + 3].all())
+    assert before == want
+    monkeypatch.setattr(C, "SLICE", 100)
+    monkeypatch.setattr(C, "ROW", 7)
+    assert [w for part in C.tokens(text) for w in part] == whole
+    assert grams(3) == want
+
+
+def test_radix_order_and_runs():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 1 << 32, 5000, dtype=np.uint32), rng.integers(0, 3, 5000, dtype=np.uint32)]
+    order = C._radix_order(columns)
+    assert (order == np.lexsort(columns[::-1])).all()
+    keys = np.sort(rng.integers(0, 40, 500)).astype(np.uint32)
+    batches = [pa.RecordBatch.from_arrays([C._keys([keys[s : s + 60]]), pa.array(np.full(len(keys[s : s + 60]), 2))], ["key", "f"]) for s in range(0, 500, 60)]
+    got = Counter()
+    for b in C._summed_runs(1, 20)(iter(batches)):
+        got.update(dict(zip((int.from_bytes(k, "big") for k in b.column(0).to_pylist()), b.column(1).to_pylist())))
+    assert got == {k: 2 * v for k, v in Counter(keys.tolist()).items() if 2 * v >= 20}
+
+
+def test_query_equals_sql(spark):
+    db = duckdb.connect()
+    db.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    found = QUERIES["op13_collocations"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, found)) == sorted(db.execute(ORACLE_SQL["op13_collocations"]).fetchall())
+    assert len(found) > 100

@@ -125,8 +125,29 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
 
 
+#: Fixed rules of the URL query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: The listed canonical URLs of the query: advertising, betting and spam sites.
+LISTED_SITES = [f"{name}.example.{zone}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on all pages' URLs by rule, else by the listed sites."""
+    from tidewell.llm.url_filter import judge_urls
+
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED_SITES))).alias("url"))
+    return judge_urls(_table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language that hold together best, over all documents."""
+    from tidewell.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_secrets, op3_language, op4_line_dedup, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup, op11_fill_in_middle)
+    f.__name__: f for f in (op1_top_k, op2_secrets, op3_language, op4_line_dedup, op5_token_files, op6_simhash, op7_byte_bpe, op8_mixing, op9_toxicity, op10_exact_dedup, op11_fill_in_middle, op12_url_filter, op13_collocations)
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -171,6 +192,61 @@ ORACLE_SQL = {
                sha256(t) as restored_sha256
         from p
     """,
+    "op12_url_filter": f"""
+        with u as (
+            select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+        ), s as (
+            select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+            from u
+        ), r as (
+            select *, case
+                when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+                when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+                when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+                when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+                when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
+            from s
+        ), listed as (
+            select unnest({[x[:-1] for x in LISTED_SITES]}) as site
+        )
+        select page_id, host, path, rule, site || '/' as listed,
+               case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null or site is not null then 'block' else 'allow' end as verdict
+        from r left join listed on r.host = site or ends_with(r.host, '.' || site)
+    """,
+    "op13_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        ), worded as (
+            select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+        ), grams as (
+            select lang, words, unnest(list_transform(range(1, len(w) - words + 2), lambda i: array_to_string(w[i:i + words - 1], ' '))) as phrase
+            from worded, (select unnest([1, 2, 3, 4]) as words)
+        ), f as (
+            select lang, phrase, words, count(*) as f from grams group by all
+        ), totals as (
+            select lang, sum(f)::bigint as n from f where words = 1 group by lang
+        ), candidates as (
+            select lang, phrase, words, f as a, string_split(phrase, ' ') as w from f where words > 1 and f >= 30
+        ), inner_ as (
+            select c.lang, array_to_string(c.w[i:i + k - 1], ' ') as phrase, max(c.a) as over
+            from candidates c, (select unnest([2, 3]) as k), (select unnest([1, 2, 3]) as i) where k < c.words and i + k - 1 <= c.words
+            group by all
+        ), cuts as (
+            select c.lang, c.phrase, c.a, k, array_to_string(c.w[:k], ' ') as left_, array_to_string(c.w[k + 1:], ' ') as right_
+            from candidates c, (select unnest([1, 2, 3]) as k) where k < c.words
+        ), scores as (
+            select c.lang, c.phrase, c.a, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f + y.f))::bigint as score,
+                   row_number() over (partition by c.lang, c.phrase order by 2000000::hugeint * c.a // (x.f + y.f), k) as best
+            from cuts c join f x on x.lang = c.lang and x.phrase = c.left_ join f y on y.lang = c.lang and y.phrase = c.right_
+        ), ranked as (
+            select s.lang, row_number() over (partition by s.lang order by score desc, a desc, encode(s.phrase)) as rank, s.phrase, a, l, r, n, score
+            from scores s join totals t on t.lang = s.lang left join inner_ i on i.lang = s.lang and i.phrase = s.phrase
+            where best = 1 and (over is null or 100 * over < 80 * a)
+        )
+        select * from ranked where rank <= 2000
+    """,
     "op8_mixing": r"""
         with recursive sized as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
