@@ -1,0 +1,44 @@
+"""Occurrence alerts in blocks against one pass over each entity."""
+
+import itertools
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from tidewell.operators.alerts import OccurrenceRule, OccurrenceState, count_occurrences
+from tidewell.operators.occurrences import occurrence_alerts
+
+T0 = datetime(2024, 1, 1)
+
+
+def made(seed, n=400):
+    rng = random.Random(seed)
+    rows = []
+    for e in ("a", "b", "c", None):
+        t = 0
+        for _ in range(n):
+            t += rng.choice([1, 1, 2, 5, 60, 300])
+            rows.append((e, T0 + timedelta(seconds=t), rng.random() < 0.6))
+    return rows
+
+
+@pytest.mark.parametrize("sliding, rising, cooldown, least", [(s, r, c, k) for (s, r, c), k in zip(itertools.product((True, False), (True, False), (0.0, 200.0)), itertools.cycle((1, 3, 2)))])
+def test_equals_one_pass_for_any_length_of_block(spark, sliding, rising, cooldown, least):
+    rule = OccurrenceRule(least, 120.0, sliding, rising, cooldown)
+    rows = made(least)
+    want = set()
+    for e in ("a", "b", "c"):  # rows without an entity raise none
+        points = sorted((t, on) for k, t, on in rows if k == e)
+        hits = count_occurrences([((t - datetime(1970, 1, 1)).total_seconds(), on) for t, on in points], rule, OccurrenceState())
+        want |= {(e, t) for (t, _), hit in zip(points, hits) if hit}
+    df = spark.createDataFrame(rows, "_e string, _t timestamp_ntz, _on boolean").repartition(3)
+    assert len(want) > 10
+    for block in (50_000, 7, 1):
+        assert set(map(tuple, occurrence_alerts(df, rule, block).collect())) == want
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([("a", T0, False)], "_e string, _t timestamp_ntz, _on boolean")
+    rule = OccurrenceRule(2, 60.0)
+    assert occurrence_alerts(df, rule).count() == 0 and occurrence_alerts(df.limit(0), rule).count() == 0

@@ -11,7 +11,6 @@ import json
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,25 +143,16 @@ def count_occurrences(points: list[tuple[float, bool]], rule: OccurrenceRule, st
 
 @operator("AlertByOccurrencesCount", outputs=("alert_name",), expressions=("expression",), kind="alert")
 def alert_by_occurrences(df, ctx, expression, min_occurrences, time_window, window_type="SLIDING", window_time_unit="MINUTE", occurrence_mode="RISING EDGE", alert_name="alert_name", cooldown=0, cooldown_time_unit=None, **_):
-    """Per entity in time order; only key, time and condition go through Python and join back."""
+    """Per entity in time order; only occurrences that can fire are dealt to blocks, and alerts join back."""
+    from tidewell.operators.occurrences import occurrence_alerts
+
     rule = OccurrenceRule(min_occurrences, seconds(time_window, window_time_unit), "SLID" in window_type.upper(), "RISING" in occurrence_mode.upper(), seconds(cooldown, cooldown_time_unit or window_time_unit))
     on = F.coalesce(compile_expression(expression, ctx.constants), F.lit(False))
-    rows = df.select(F.col(ctx.entity).alias("_e"), F.col(ctx.timestamp).alias("_t"), on.alias("_on"))
-    fired = rows.groupBy("_e").applyInPandas(_occurrence_times(rule), f"_e {rows.schema['_e'].dataType.simpleString()}, _t {rows.schema['_t'].dataType.simpleString()}")
+    fired = occurrence_alerts(df.select(F.col(ctx.entity).alias("_e"), F.col(ctx.timestamp).alias("_t"), on.alias("_on")), rule)
     joined = df.join(fired.withColumn(alert_name, F.lit(True)), (F.col(ctx.entity) == F.col("_e")) & (F.col(ctx.timestamp) == F.col("_t")), "left")
     return joined.drop("_e", "_t")
 
 
-def _occurrence_times(rule: OccurrenceRule):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t", kind="stable")
-        t = (pdf["_t"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        hit = count_occurrences(list(zip(t, pdf["_on"].tolist())), rule, OccurrenceState())
-        return pdf.loc[hit, ["_e", "_t"]].drop_duplicates()
-
-    return run
-
-
 def no_data_alerts(df: DataFrame, ctx: Context, duration: float, cooldown: float | None = None, registered: datetime | None = None, end: datetime | None = None, entities: DataFrame | None = None, alert_name: str = "no_data_alert") -> DataFrame:
     """Rows (entity, time, alert) at which data has been missing for ``duration`` seconds.
 

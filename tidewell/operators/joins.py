@@ -90,27 +90,6 @@ operator("LookupOperator", outputs=("output_item",))(lambda df, ctx, dummy_item=
 operator("LookupStatus", outputs=("output_item",))(lambda df, ctx, dummy_item=None, output_item="status", table_name="widgets_dimension_status": scd_lookup(df, ctx, table_name, output_item))
 
 
-def interval_default(left: DataFrame, right: DataFrame, entity: str, ts: str, start: str, end: str, prop: str, name: str, default) -> DataFrame:
-    """The property of the interval start <= ts < end; of several, the last by (start, property).
-
-    Overlaps are first cut into pieces with one winner each, so that an as-of join
-    can look the piece up: no row meets more than one interval.
-    """
-    rows = right.select(F.col(entity).alias("_e"), F.col(start).cast("timestamp_ntz").alias("_s"), F.col(end).cast("timestamp_ntz").alias("_x"), F.col(prop).alias("_p")).where("_s < _x")
-    cuts = rows.select("_e", F.col("_s").alias("_c")).unionByName(rows.select("_e", F.col("_x").alias("_c"))).distinct()
-    # an interval opens and closes at its cuts; the winner between two cuts is the last opened that is still open
-    held = cuts.join(rows, "_e").where("_s <= _c and _c < _x").groupBy("_e", "_c").agg(F.max_by("_p", F.struct("_s", "_p")).alias("_v"))
-    pieces = cuts.join(held, ["_e", "_c"], "left").select(F.col("_e").alias(entity), "_c", F.struct(F.col("_v").alias("v")).alias("_w"))
-    joined = asof_join(left, pieces, entity, ts, "_c", ["_w"])
-    return joined.withColumn(name, F.coalesce(F.col("_w.v"), F.lit(default))).drop("_w")
-
-
-@operator("IoTSCDLookupWithDefault", outputs=("output_item",))
-def scd_lookup_with_default(df, ctx, table_name, dimension_name, default_value, output_item=None, entity_name=None, start_name="start_date", end_name="end_date"):
-    table = ctx.table(df.sparkSession, table_name).withColumnRenamed(entity_name or ctx.entity, ctx.entity)
-    return interval_default(df, table, ctx.entity, ctx.timestamp, start_name, end_name, dimension_name, output_item or dimension_name, default_value)
-
-
 def coalesce_columns(df: DataFrame, columns: list[str], suffix: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}{suffix}")) for c in columns}).drop(*(f"{c}{suffix}" for c in columns))
 

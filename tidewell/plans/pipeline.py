@@ -14,6 +14,7 @@ from tidewell.functions.scalars import complete_backtrack
 from tidewell.functions.transforms import TYPES, check_types, drop_null, schema_changes
 from tidewell.operators.aggregate import Aggregate, Granularity, aggregate
 from tidewell.operators.alerts import computed_alerts
+from tidewell.sources.job_log import JobLog, NoJobLog
 from tidewell.sources.tables import scan, to_long
 
 
@@ -188,32 +189,34 @@ class JobController:
     """Runs due schedules of an entity type and logs each run.
 
     A run is one lazy plan over its window; it is cut into chunks only on request,
-    since Spark already reads and spills by partition.
+    since Spark already reads and spills by partition.  Each chunk that the sink has
+    taken is logged, and a run that follows one that died goes on after its last
+    chunk.  Runs of the same job that still count as running are abandoned first.
     """
 
     entity_type: EntityType
     schedules: dict[str, Schedule]
-    log: list[dict] = field(default_factory=list)
+    log: JobLog | NoJobLog = field(default_factory=NoJobLog)
 
     def last_runs(self) -> dict[str, datetime | None]:
-        return {n: max((r["execution_date"] for r in self.log if r["schedule"] == n and r["status"] == "complete"), default=None) for n in self.schedules}
+        return {n: self.log.last_execution_date(self.entity_type.name, n) for n in self.schedules}
 
     def execute(self, at: datetime, sink: Callable[[str, Result], None], chunk: timedelta | None = None) -> list[str]:
-        ran = []
-        for name in due(self.schedules, at, self.last_runs()):
-            schedule, entry = self.schedules[name], {"schedule": name, "execution_date": at, "status": "running", "object_name": self.entity_type.name}
-            self.log.append(entry)
-            start = window_start(at, schedule.backtrack)
+        ran, last = [], self.last_runs()
+        for name in due(self.schedules, at, last):
+            schedule, mine = self.schedules[name], (self.entity_type.name, name)
+            self.log.clear_old_running(*mine)
+            start, done = window_start(at, schedule.backtrack), self.log.done_until(*mine)
+            if chunk and done is not None and start is not None and start < done < at:
+                start = done
+            run = self.log.start(*mine, at, previous_execution_date=last[name])
             try:
                 for a, b in chunks(start, at, chunk) if chunk and start else [(start, at)]:
                     sink(name, CalcPipeline(self.entity_type).execute(start=a, end=b))
-                entry |= {"status": "complete", "next_execution_date": at + schedule.every}
+                    run.tell("running", done_until=b)
+                run.tell("complete", next_execution_date=at + schedule.every)
             except Exception as e:
-                entry |= {"status": "aborted", "execution_log": str(e)}
+                run.tell("aborted", execution_log=str(e)[:2000])
                 raise
             ran.append(name)
         return ran
-
-    def log_frame(self, spark) -> DataFrame:
-        schema = "schedule string, execution_date timestamp_ntz, status string, object_name string, next_execution_date timestamp_ntz, execution_log string"
-        return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in self.log], schema)

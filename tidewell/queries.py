@@ -13,6 +13,7 @@ from tidewell.functions import metrics as M
 from tidewell.functions.quality import quality_checks
 from tidewell.operators import activities as A
 from tidewell.operators import alerts as L
+from tidewell.operators import intervals as I
 from tidewell.operators import joins as J
 from tidewell.operators import models as ML
 from tidewell.operators import shifts as S
@@ -248,7 +249,14 @@ def alert_no_data(spark, sf):
     return L.no_data_alerts(events(spark, sf, "value"), CTX, 86_400, 43_200)
 
 
-@query("alert_occurrences")
+@query("alert_occurrences", """with recursive o as (select user_id, ts, row_number() over w as i, lag(ts, 2) over w as back from events where value > 20 window w as (partition by user_id order by ts)),
+    able as (select user_id, ts, i from o where back > ts - interval 2 days),
+    fired as (
+        select user_id, min(ts) as ts, min(i) as i from able group by user_id
+        union all
+        select a.user_id, min(a.ts), min(a.i) from fired f join able a on a.user_id = f.user_id and a.i >= f.i + 3 and a.ts > f.ts + interval 6 hours group by a.user_id
+    )
+    select e.event_id, true as alert from events e join (select distinct user_id, ts from fired) f on f.user_id = e.user_id and f.ts = e.ts""")
 def alert_occurrences(spark, sf):
     step = Step("AlertByOccurrencesCount", expression="${value} > 20", min_occurrences=3, time_window=2, window_time_unit="DAYS", occurrence_mode="EVERY", alert_name="alert", cooldown=6, cooldown_time_unit="HOURS")
     return step.apply(events(spark, sf), CTX).where("alert").select("event_id", "alert")
@@ -792,3 +800,38 @@ def agg_complex(spark, sf):
         return pd.DataFrame({"above": [pdf["value"].max() - pdf["value"].median()], "n": [len(pdf)]})
 
     return complex_aggregate(events(spark, sf, "value"), CTX, Granularity("m", "MS"), spread, "above double, n long").withColumn("above", F.round("above", 6))
+
+
+# intervals
+
+
+def _spells(spark, sf):
+    """Property values valid for 8 hours, some from ever and some until now."""
+    rows = events(spark, sf).where("event_type in ('purchase', 'error')")
+    start, end = F.when(F.col("event_id") % 7 != 0, F.col("ts")), F.when(F.col("event_id") % 5 != 0, F.col("ts") + F.expr("interval 8 hours"))
+    return rows.select("user_id", start.alias("start_date"), end.alias("end_date"), F.concat("event_type", "event_id").alias("state"))
+
+
+_SPELLS = """select user_id, case when event_id % 7 <> 0 then ts end as s, case when event_id % 5 <> 0 then ts + interval 8 hours end as x, event_type || event_id as state
+    from events where event_type in ('purchase', 'error')"""
+
+
+@query("scd_data", f"""with c as ({_SPELLS}) select user_id, s as start_date, x as end_date, state from c
+    where (x is null or x >= timestamp '2024-01-05') and (s is null or s < timestamp '2024-01-20 12:00:00')""")
+def scd_data_query(spark, sf):
+    return I.scd_data(_spells(spark, sf), "user_id", datetime(2024, 1, 5), datetime(2024, 1, 20, 12))
+
+
+@query("scd_history", f"""with c as ({_SPELLS}), w as (select user_id, date_trunc('day', ts)::timestamp as day_from, max(ts)::timestamp as day_to from events where event_type = 'view' group by 1, 2)
+    select w.user_id, day_from, day_to, 'state' as property, state as value, s as valid_from, x as valid_to
+    from w join c on w.user_id = c.user_id and (x is null or x >= day_from) and (s is null or s < day_to)""")
+def scd_history_query(spark, sf):
+    windows = events(spark, sf).where("event_type = 'view'").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day_from")).agg(F.max("ts").alias("day_to"))
+    return I.scd_history(windows, {"state": _spells(spark, sf)}, "user_id", ("day_from", "day_to"))
+
+
+@query("scd_history_step", f"""with c as ({_SPELLS}) select event_id, 'state' as property, state as value
+    from events e join c on e.user_id = c.user_id and (x is null or x >= ts) and (s is null or s <= ts)""")
+def scd_history_step_query(spark, sf):
+    ctx = Context("user_id", "ts", tables={"spells": _spells(spark, sf)})
+    return Step("SCDHistory", table_names={"state": "spells"}).apply(events(spark, sf, "event_id"), ctx).select("event_id", "property", "value")
