@@ -13,8 +13,10 @@ until its groups are small, so no task holds an unbounded group and no pair is l
 
 ``similar_groups`` links by a wide reach instead, and by the shingle sets' Jaccard
 similarity in the end.  The keys of a wide reach would be a few bits long, so its
-candidates share one of the least shingle hashes; the same chain budgets and the
-Hamming distance prune them, and what passes is verified on the whole sets.
+candidates share one of the first hashes of their sets, in an order that puts hashes
+of very many sets last; the same chain budgets and the Hamming distance, here of
+fingerprints over distinct shingles, prune them, and what passes is verified on the
+whole sets.  This rule is one for groups of all sizes.
 """
 
 from __future__ import annotations
@@ -36,14 +38,15 @@ REACH = 3
 #: Distinct fingerprints in a candidate group that is compared within one task.
 GROUP = 512
 BLOCK = 1 << 16
-#: Shingles of ``similar_groups``, and how many of a set's least hashes deal its candidates.  Two sets of
-#: Jaccard similarity s miss each other with a probability of about (1 - s) ** SKETCH: 3 in a million at 0.8.
-SIMILAR_WORDS, SKETCH = 5, 8
+#: Shingles of ``similar_groups``, how many of a set's first hashes deal its candidates, and how many least hashes
+#: these are picked from.  Two sets of Jaccard similarity s miss each other with a probability of about
+#: (1 - s) ** SKETCH: 3 in a million at 0.8.
+SIMILAR_WORDS, SKETCH, KEPT = 5, 8, 32
 #: Bits in which fingerprints of similarity 0.8 may differ: 10 on average, 12 for sets of a few shingles, deviation 3.
 WIDE = 22
-#: Groups of sets that share a hash: small ones are joined, larger ones compared in blocks of SETS, and those beyond
-#: HOT dealt again by two hashes, then by three.
-SMALL, SETS, HOT, DEPTH = 32, 1024, 4000, 3
+#: Groups of sets that share a hash: small ones are joined, larger ones compared in blocks of SETS.  Hashes that deal
+#: over HOT sets go last in the order, as far as ROUNDS rounds find them.
+SMALL, SETS, HOT, ROUNDS = 32, 1024, 512, 3
 BROADCAST_ROWS = 400_000
 
 
@@ -214,12 +217,11 @@ def _sketches(words: int):
         for batch in batches:
             sid, n, fp, least = [], [], [], []
             for t in text_list(batch.column(1)):
-                blocks = list(shingle_hashes(t, words))
-                found = _set_of(blocks)
+                found = _set_of(list(shingle_hashes(t, words)))
                 sid.append(_name(found))
                 n.append(len(found))
-                fp.append(_majority(blocks))
-                least.append(found[:SKETCH].view(np.int64))
+                fp.append(_majority(found[i : i + BLOCK] for i in range(0, len(found), BLOCK)))
+                least.append(found[:KEPT].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), _longs(sid), pa.array(n, pa.int32()), _longs(fp), pa.array(least, pa.list_(pa.int64()))], ["key", "sid", "n", "fp", "least"])
 
     return run
@@ -290,7 +292,7 @@ def _shared_counts(one: list[np.ndarray], other: list[np.ndarray], width: int =
     return total
 
 
-def _block_links(num: int, den: int):
+def _block_links(reach: int, num: int, den: int):
     """Links between the sets of a block outside their group's usual component and those of another block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -300,7 +302,10 @@ def _block_links(num: int, den: int):
             one, other = of(left), of(right)
             sid, root = ([t[c].to_numpy() for t in (left, right)] for c in ("sid", "root"))
             size = [np.array([len(h) for h in x]) for x in (one, other)]
-            near = (_shared_counts(one, other) * (num + den) >= num * (size[0][:, None] + size[1])) & (root[0][:, None] != root[1])
+            fp = [t["fp"].to_numpy().view(np.uint64) for t in (left, right)]
+            near = (np.bitwise_count(fp[0][:, None] ^ fp[1]) <= reach) & (root[0][:, None] != root[1])
+            if near.any():
+                near &= _shared_counts(one, other) * (num + den) >= num * (size[0][:, None] + size[1])
             # a spanning forest over the components that meet here: one link fewer than there are
             roots, of_root = np.unique(np.concatenate(root), return_inverse=True)
             i, j = np.nonzero(near)
@@ -323,23 +328,50 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _linked_in_blocks(groups: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) across the components of large groups (token, sid, root, usual, size), each pair counted in full."""
+def _linked_in_blocks(groups: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, reach: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) across the components of large groups (token, sid, fp, root, usual, size, odd), each pair counted in full.
+
+    The ``odd`` sets outside the usual component are dealt to blocks, and all
+    ``size`` sets to others; each block meets each of the others once.
+    """
     groups = groups.join(_sets(groups.select("sid").distinct(), rows, nodes, words), "sid")
-    blocks = F.ceil(F.col("size") / F.lit(SETS)).cast("int")
-    own, every = F.pmod(F.xxhash64("sid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    columns = ["token", "one", "other", "sid", "root", "hashes"]
-    left = groups.where("root <> usual").withColumn("one", own).withColumn("other", every).select(*columns)
-    right = groups.withColumn("other", own).withColumn("one", every).select(*(F.col(c).alias(c) for c in columns))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(SETS)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("sid"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    columns = ["token", "one", "other", "sid", "fp", "root", "hashes"]
+    left = groups.where("root <> usual").withColumn("one", own("odd")).withColumn("other", every("size")).select(*columns)
+    right = groups.withColumn("other", own("size")).withColumn("one", every("odd")).select(*(F.col(c).alias(c) for c in columns))
     by = ("token", "one", "other")
-    return cut(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_block_links(num, den), "a long, b long"))
+    return cut(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_block_links(reach, num, den), "a long, b long"))
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members`` (token, path, sid, n, fp) of groups over several components, with their root and their group's first one's."""
-    named = members.join(roots, members["sid"] == roots["node"], "left").select("token", "path", "sid", "n", "fp", F.coalesce("root", "sid").alias("root"))
-    groups = named.groupBy("token").agg(F.min(F.struct("sid", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    return cut(named.join(groups.where("low < high").select("token", F.col("head.root").alias("usual"), "size"), "token"))
+    """``members`` (token, sid, n, fp) of groups over several components, with their root, their group's usual one, its size and how many are odd."""
+    named = members.join(roots, members["sid"] == roots["node"], "left").select("token", "sid", "n", "fp", F.coalesce("root", "sid").alias("root"))
+    parts = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("part"))
+    groups = parts.groupBy("token").agg(F.max(F.struct("part", "root")).alias("most"), F.sum("part").alias("size"))
+    mixed = groups.where("most.part < size").select("token", F.col("most.root").alias("usual"), "size", (F.col("size") - F.col("most.part")).alias("odd"))
+    return cut(named.join(mixed, "token"))
+
+
+def _sketched(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with sketch: the first SKETCH of the least hashes, those that deal over HOT sets last.
+
+    A passage that many texts share would deal them all to each other; so they are
+    dealt by what else they have.  Any order that is one for all sets will do.
+    """
+    at, hot = nodes.withColumn("sketch", F.slice("least", 1, SKETCH)), None
+    for _ in range(ROUNDS):
+        counts = at.select(F.explode("sketch").alias("token")).groupBy("token").count().where(F.col("count") > HOT).select("token")
+        new = cut(counts if hot is None else counts.join(hot, "token", "left_anti"))
+        if not new.take(1):
+            break
+        hot = new if hot is None else cut(hot.unionByName(new))
+        sized = F.broadcast if hot.count() <= BROADCAST_ROWS else lambda df: df
+        known = nodes.select("sid", F.explode("least").alias("token")).join(sized(hot), "token").groupBy("sid").agg(F.array_sort(F.collect_list("token")).alias("hot"))
+        late = F.coalesce("hot", F.array().cast("array<bigint>"))
+        at = cut(nodes.join(known, "sid", "left").withColumn("sketch", F.slice(F.concat(F.array_except("least", late), late), 1, SKETCH)).drop("hot"))
+    return at
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, num: int = 4, den: int = 5, reach: int = WIDE) -> DataFrame:
@@ -347,39 +379,30 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     The sets are of runs of ``words`` words, by their XXH64; a shorter text is one run.
     Texts without words, null or empty, link with each other; equal sets are one node.
-    No pair below the similarity links.  A pair at it is missed where no least hash is
-    shared or the fingerprints differ in more than ``reach`` bits, well under one in a
-    hundred, less the more similar.  Each set is first held against the first of each
-    group; then only pairs across the components found can change the outcome.  In
-    large groups these are counted block by block, and a block gives no more links
-    than it joins components.
+    No pair below the similarity links.  A pair at it is missed where no hash of the
+    sketches is shared or the fingerprints differ in more than ``reach`` bits, well
+    under one in a hundred, less the more similar.  Each set is first held against
+    the first of each group; then only pairs across the components found can change
+    the outcome.  In large groups these are counted block by block, all of them, and
+    a block gives no more links than it joins components.  Rows that repeat a key
+    are rows apart, null keys sort before others; other columns are ignored.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     marked = stored(rows.mapInArrow(_sketches(words), f"key {rows.schema['key'].dataType.simpleString()}, sid long, n int, fp long, least array<long>"))
-    nodes = marked.groupBy("sid", "n", "fp", "least").agg(F.min("key").alias("first"))
-    postings = nodes.select("sid", "n", "fp", F.explode("least").alias("token"))
+    # a set's hash names it, so its size, fingerprint and least hashes are the same in all rows
+    nodes = cut(marked.groupBy("sid", "n", "fp", "least").agg(F.min("key").alias("first")))
+    postings = _sketched(nodes).select("sid", "n", "fp", F.explode("sketch").alias("token"))
     heads = postings.groupBy("token").agg(F.min(F.struct("sid", "n", "fp")).alias("e"), F.max("sid").alias("last"))
     shared = stored(postings.join(heads.where("e.sid < last").drop("last"), "token"))
     near = _maybe(F.col("n"), F.col("fp"), F.col("e.n"), F.col("e.fp"), reach, num, den)
     edges = _similar(shared.where((F.col("sid") > F.col("e.sid")) & near).select(F.col("sid").alias("a"), F.col("e.sid").alias("b")), rows, nodes, words, num, den)
-    roots = cut(connected_components(edges))
-    members, across, links = shared.select("token", F.array("token").alias("path"), "sid", "n", "fp"), None, edges
-    for depth in range(1, DEPTH + 1):
-        mixed = _rooted(members, roots)
-        large = mixed.where((F.col("size") > SMALL) & (F.lit(depth == DEPTH) | (F.col("size") <= HOT)))
-        links = links.unionByName(_linked_in_blocks(large, rows, nodes, words, num, den))
-        now = mixed.where(F.col("size") <= SMALL)
-        left = now.where("root <> usual").select("token", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "fp", "root")))
-        once = (F.col("root") == F.col("usual")) | (F.col("sid") < F.col("l_sid"))
-        met = left.join(now, "token").where((F.col("root") != F.col("l_root")) & once & _maybe(F.col("l_n"), F.col("l_fp"), F.col("n"), F.col("fp"), reach, num, den))
-        met = met.select(F.greatest("sid", "l_sid").alias("a"), F.least("sid", "l_sid").alias("b"))
-        across = met if across is None else across.unionByName(met)
-        hot = mixed.where(F.col("size") > HOT)
-        if depth == DEPTH or not hot.take(1):
-            break
-        more = hot.join(nodes.select("sid", "least"), "sid").select("path", "sid", "n", "fp", F.explode(F.array_except("least", "path")).alias("added"))
-        longer = F.sort_array(F.array_append("path", F.col("added")))
-        members = more.select(longer.alias("path"), "sid", "n", "fp").withColumn("token", F.xxhash64("path")).distinct()
+    mixed = _rooted(shared.select("token", "sid", "n", "fp"), cut(connected_components(edges)))
+    links = edges.unionByName(_linked_in_blocks(mixed.where(F.col("size") > SMALL), rows, nodes, words, reach, num, den))
+    now = mixed.where(F.col("size") <= SMALL)
+    left = now.where("root <> usual").select("token", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "fp", "root")))
+    once = (F.col("root") == F.col("usual")) | (F.col("sid") < F.col("l_sid"))
+    met = left.join(now, "token").where((F.col("root") != F.col("l_root")) & once & _maybe(F.col("l_n"), F.col("l_fp"), F.col("n"), F.col("fp"), reach, num, den))
+    across = met.select(F.greatest("sid", "l_sid").alias("a"), F.least("sid", "l_sid").alias("b"))
     roots = cut(connected_components(links.unionByName(_similar(across, rows, nodes, words, num, den))))
     named = cut(nodes.join(roots, nodes["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
