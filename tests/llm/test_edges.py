@@ -64,6 +64,20 @@ def test_vectors_with_null_keys(spark):
     assert [(r["query_id"], r["vec_id"]) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 3)]
 
 
+def test_pipeline_stages_keep_columns_of_clashing_names(spark):
+    sf = "/root/testdata/sf0.001"
+    names = ["score", "predicted", "_scored", "whole", "body", "_kept", "key", "size", "component_id", "label"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf)
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 60
+
+
 def test_pipeline_stage_by_stage(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -161,7 +161,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
 
     ``und`` and 0 for texts that are null or have no letters.  Of equal shares the
     language first by code point is taken.  Whole texts are read where they are,
-    without a shuffle; repeated rows are predicted each.
+    without a shuffle; repeated rows are predicted each.  Columns of ``docs`` named
+    lang_pred or score give way to the new ones.
     """
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     rows = docs.select(*rest, docs[text].alias(unused_name(rest)))

@@ -87,7 +87,7 @@ def shape(token: str) -> int:
 
 
 def _is_cue(word: str) -> bool:
-    return word.lower().rstrip("=.").endswith(CUES)
+    return word.encode("utf-8", "surrogatepass").lower().rstrip(b"=.").endswith(_CUE_ENDS)  # as in _has_cue, only A-Z fold
 
 
 def _link(word: str | None) -> int:
@@ -134,6 +134,7 @@ def _has_hot(raw: bytes) -> bool:
     return b"1" in raw.translate(_DIGIT) or b"a" * LONG in raw.translate(_RUN)
 
 
+_CUE_ENDS = tuple(c.encode() for c in CUES)
 _CUE_BYTES = tuple({c.encode() for c in CUES if not any(o != c and o in c for o in CUES)})
 
 
@@ -429,7 +430,8 @@ def scan_secrets(docs: DataFrame, field: Field, text: str = "text") -> DataFrame
 
     Offsets count code points, ends are exclusive; kinds are assign, access, hex and
     crf.  Null and empty texts have no spans.  Whole texts are read where they are,
-    without a shuffle; repeated rows are scanned each.
+    without a shuffle; repeated rows are scanned each.  A column of ``docs`` named
+    spans gives way to the new one.
     """
     rest = [c for c in docs.columns if c not in (text, "spans")]
     rows = docs.select(*rest, docs[text].alias(unused_name(rest)))

@@ -250,6 +250,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text") -
 
     Whole texts are scored where they are, without a shuffle.  Null and empty texts
     get the score of a document without words; repeated rows are scored each.
+    Columns of ``docs`` named score or predicted give way to the new ones.
     """
     rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
     rows = docs.select(*rest, docs[text].alias(unused_name(rest)))
