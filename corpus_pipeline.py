@@ -24,10 +24,11 @@ from tidewell.llm.toxicity import toxicity_scores
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity under 0.5; texts that are null or empty stay."""
+    """Documents with a toxicity under 0.5, columns unchanged, of any names; texts that are null or empty stay."""
     model = toxicity_model(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity_scores(docs.withColumn("_scored", F.col("text")), model, text="_scored")
-    return scored.where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("text").alias("body"))
+    scored = toxicity_scores(rows, model, text="body")
+    return scored.where("predicted = 0").select(*(F.col("whole")[c].alias(c) for c in docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
