@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +45,9 @@ BLOCK = 1 << 16
 SIMILAR_WORDS, SKETCH, KEPT = 5, 8, 32
 #: Bits in which fingerprints of similarity 0.8 may differ: 10 on average, 12 for sets of a few shingles, deviation 3.
 WIDE = 22
-#: Groups of sets that share a hash: small ones are joined, larger ones compared in blocks of SETS.  Hashes that deal
-#: over HOT sets go last in the order, as far as ROUNDS rounds find them.
-SMALL, SETS, HOT, ROUNDS = 32, 1024, 512, 3
+#: Groups of sets that share a hash: small ones are joined, larger ones compared in blocks of SETS.  Hashes among the
+#: least of over HOT sets go last in the order, HOT_HASHES of them at most.
+SMALL, SETS, HOT, HOT_HASHES = 32, 1024, 512, 1 << 20
 BROADCAST_ROWS = 400_000
 
 
@@ -354,24 +355,38 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(named.join(mixed, "token"))
 
 
+def _hot_last(hot: Broadcast):
+    """Sets to their sketches: the least hashes that are not ``hot`` (sorted), then those that are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = batch.column(3)
+            sizes = np.diff(least.offsets.to_numpy())
+            values, row = least.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(hot.value, values), len(hot.value) - 1)
+            order = np.lexsort((hot.value[at] == values, row))  # stable: within a set hashes stay in order
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.concatenate(([0], np.cumsum(np.minimum(sizes, SKETCH)))).astype(np.int32)
+            sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order][place < SKETCH]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sketch], ["sid", "n", "fp", "sketch"])
+
+    return run
+
+
 def _sketched(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with sketch: the first SKETCH of the least hashes, those that deal over HOT sets last.
+    """sid, n, fp and sketch of ``nodes``: the first SKETCH of the least hashes, those that over HOT sets hold last.
 
     A passage that many texts share would deal them all to each other; so they are
-    dealt by what else they have.  Any order that is one for all sets will do.
+    dealt by what else they have.  Any order that is one for all sets will do.  At
+    most HOT_HASHES hashes, 8 bytes each, go to the tasks: with more the bound rises.
     """
-    at, hot = nodes.withColumn("sketch", F.slice("least", 1, SKETCH)), None
-    for _ in range(ROUNDS):
-        counts = at.select(F.explode("sketch").alias("token")).groupBy("token").count().where(F.col("count") > HOT).select("token")
-        new = cut(counts if hot is None else counts.join(hot, "token", "left_anti"))
-        if not new.take(1):
-            break
-        hot = new if hot is None else cut(hot.unionByName(new))
-        sized = F.broadcast if hot.count() <= BROADCAST_ROWS else lambda df: df
-        known = nodes.select("sid", F.explode("least").alias("token")).join(sized(hot), "token").groupBy("sid").agg(F.array_sort(F.collect_list("token")).alias("hot"))
-        late = F.coalesce("hot", F.array().cast("array<bigint>"))
-        at = cut(nodes.join(known, "sid", "left").withColumn("sketch", F.slice(F.concat(F.array_except("least", late), late), 1, SKETCH)).drop("hot"))
-    return at
+    total = nodes.agg(F.sum(F.size("least"))).first()[0] or 0
+    counts = nodes.select(F.explode("least").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    hot = counts.where(F.col("held") > max(HOT, total // HOT_HASHES)).select("token").toArrow()["token"].to_numpy()
+    rows = nodes.select("sid", "n", "fp", "least")
+    if not len(hot):
+        return rows.select("sid", "n", "fp", F.slice("least", 1, SKETCH).alias("sketch"))
+    return rows.mapInArrow(_hot_last(nodes.sparkSession.sparkContext.broadcast(np.sort(hot))), "sid long, n int, fp long, sketch array<long>")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, num: int = 4, den: int = 5, reach: int = WIDE) -> DataFrame:
