@@ -50,7 +50,7 @@ CATALOG: dict[str, Operator] = {}
 _MODULES = (
     "tidewell.functions.transforms", "tidewell.functions.scalars", "tidewell.functions.random_values", "tidewell.operators.alerts",
     "tidewell.operators.joins", "tidewell.operators.intervals", "tidewell.operators.windows", "tidewell.operators.shifts", "tidewell.operators.activities",
-    "tidewell.operators.anomaly", "tidewell.operators.models", "tidewell.operators.generators", "tidewell.sources.tables", "tidewell.sources.alert_table", "tidewell.plans.controls",
+    "tidewell.operators.anomaly", "tidewell.operators.density", "tidewell.operators.models", "tidewell.operators.generators", "tidewell.sources.tables", "tidewell.sources.alert_table", "tidewell.plans.controls",
 )
 
 

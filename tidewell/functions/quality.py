@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.stationarity import stationarity, white_noise
+
 
 def constant_value(c: Column) -> Column:
     return F.when(F.count(c) > 1, F.count_distinct(c) <= 1)
@@ -39,72 +41,16 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
     return -math.log(a / b) if a and b else None
 
 
-def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    return beta, y - x @ beta
-
-
-def adf_statistic(x: np.ndarray) -> float:
-    """Augmented Dickey-Fuller t statistic with a constant and Schwert's number of lags."""
-    lags = min(int(12 * (len(x) / 100) ** 0.25), max(0, len(x) // 2 - 3))
-    d = np.diff(x)
-    rows = len(d) - lags
-    columns = [np.ones(rows), x[lags:-1], *(d[lags - k : len(d) - k] for k in range(1, lags + 1))]
-    design = np.column_stack(columns)
-    beta, rest = _ols(d[lags:], design)
-    variance = rest @ rest / max(1, rows - design.shape[1])
-    spread = math.sqrt(max(1e-300, variance * np.linalg.pinv(design.T @ design)[1, 1]))
-    return float(beta[1] / spread)
-
-
-def kpss_statistic(x: np.ndarray) -> float:
-    e = x - x.mean()
-    lags = int(math.ceil(12 * (len(x) / 100) ** 0.25))
-    long_run = e @ e / len(x) + 2 / len(x) * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, min(lags, len(x) - 1) + 1))
-    return float((np.cumsum(e) ** 2).sum() / (len(x) ** 2 * max(1e-300, long_run)))
-
-
-#: Critical values at 5 per cent: Dickey-Fuller with a constant, and KPSS about a level.
-ADF_5, KPSS_5 = -2.86, 0.463
-
-
-def stationarity(x: np.ndarray) -> str:
-    if x.std() == 0:
-        return "Constant"
-    if len(x) < 12:
-        return "Not enough data"
-    unit_root, drifts = adf_statistic(x) > ADF_5, kpss_statistic(x) > KPSS_5
-    return {(False, False): "Stationary", (True, True): "Not stationary", (True, False): "Trend stationary", (False, True): "Difference stationary"}[unit_root, drifts]
-
-
-def _chi2_tail(q: float, k: int) -> float:
-    """Upper tail of the chi-squared distribution, by Wilson and Hilferty's cube root."""
-    z = ((q / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def white_noise(x: np.ndarray) -> bool:
-    """Not rejected by a Ljung-Box test unless every lag rejects at 5 per cent."""
-    n, e = len(x), x - x.mean()
-    power = e @ e
-    if power == 0:
-        return False
-    q, small = 0.0, 0
-    for k in range(1, n):
-        r = (e[k:] @ e[:-k]) / power
-        q += n * (n + 2) * r * r / (n - k)
-        small += _chi2_tail(q, k) < 0.05
-    return small < n - 1
-
-
-_GROUPED = {"sample_entropy": (sample_entropy, "double"), "stationarity": (stationarity, "string"), "white_noise": (white_noise, "boolean")}
+_GROUPED = {"sample_entropy": (sample_entropy, "double")}
+_BY_LAGS = {"stationarity": stationarity, "white_noise": white_noise}
 _SIMPLE = {"constant_value": constant_value, "stuck_at_zero": stuck_at_zero}
 
 
 def quality_checks(df: DataFrame, group: list[str], source: str, order: str, checks: list[str]) -> DataFrame:
     """The checks of each group's non-null values; groups of one value or none give null.
 
-    The simple ones are one aggregation; the others need a group's series at once.
+    The simple ones are one aggregation, stationarity and white noise sums over blocks
+    of a series; sample entropy needs a group's series at once.
     """
     simple = [_SIMPLE[c](F.col(source)).alias(c) for c in checks if c in _SIMPLE]
     out = df.groupBy(*group).agg(*simple, F.count(source).alias("n_values"))
@@ -121,4 +67,9 @@ def quality_checks(df: DataFrame, group: list[str], source: str, order: str, che
 
         more = df.select(*group, order, source).groupBy(*group).applyInPandas(run, key + ", " + ", ".join(f"{c} {_GROUPED[c][1]}" for c in grouped))
         out = out.join(more, group, "left")
+    for c in checks:
+        if c in _BY_LAGS:
+            found = _BY_LAGS[c](df, group, source, order).select(F.col("_e").alias("_key"), F.col(c))
+            out = out.join(found, F.to_json(F.struct(*group)) == F.col("_key"), "left").drop("_key")
+            out = out.withColumn(c, F.when(F.col("n_values") > 1, F.col(c)))
     return out.select(*group, *checks, "n_values")

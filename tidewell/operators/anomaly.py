@@ -8,6 +8,7 @@ entity and runs the template on Arrow batches.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog import listed, operator
 from tidewell.functions.scalars import micros, window_and_overlap
+from tidewell.operators import long_series
+from tidewell.operators.joins import small
+from tidewell.sources.staging import staged
 
 Scorer = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -144,16 +148,21 @@ def robust_distance(x: np.ndarray, seed: int = 1, tries: int = 20, refine: int =
     return distance(best[1], best[2])
 
 
-def spectral(x, t, size, parts=("score",)):
-    """Energy of a Hann-windowed spectrum weighted by frequency, as z-scores times 100 / 2.8."""
-    size, overlap = window_and_overlap(size)
-    w = windows_of(x, size, max(1, size - overlap))
+def window_energy(w: np.ndarray) -> np.ndarray:
+    """Energy of each window's Hann-windowed spectrum without a line, weighted by frequency."""
+    size = w.shape[1]
     at = np.arange(size) - (size - 1) / 2
     slope = (w * at).sum(axis=1, keepdims=True) / max(1e-12, (at * at).sum())
     flat = w - w.mean(axis=1, keepdims=True) - slope * at
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
     power = np.abs(np.fft.rfft(flat * hann, axis=1)) ** 2 / max(1e-12, (hann**2).sum())
-    energy = (power * np.fft.rfftfreq(size)).sum(axis=1)
+    return (power * np.fft.rfftfreq(size)).sum(axis=1)
+
+
+def spectral(x, t, size, parts=("score",)):
+    """Energy of each window as z-scores times 100 / 2.8."""
+    size, overlap = window_and_overlap(size)
+    energy = window_energy(windows_of(x, size, max(1, size - overlap)))
     score = lambda e: np.abs(e - e.mean()) / (e.std() or 1.0) * 100 / 2.8
     found = {"score": score(energy), "inverse": score(1.0 / np.maximum(energy, 1e-9)), "energy": energy}
     return [found[p] for p in parts]
@@ -232,14 +241,30 @@ def matrix_profile(x, t, size):
 
 
 def change_points(x: np.ndarray, count: int = 15, jump: int = 2) -> list[int]:
-    """Bottom-up segmentation: merge neighbours at the least rise of squared error."""
+    """Bottom-up segmentation: merge neighbours at the least rise of squared error, of equal ones the first."""
     edges = [*range(0, len(x), jump), len(x)]
     s1, s2 = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
     cost = lambda a, b: s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a)
-    while len(edges) - 2 > count:
-        rise = [cost(a, c) - cost(a, b) - cost(b, c) for a, b, c in zip(edges, edges[1:], edges[2:])]
-        edges.pop(int(np.argmin(rise)) + 1)
-    return edges[1:-1]
+    before, after = list(range(-1, len(edges) - 1)), list(range(1, len(edges) + 1))
+    now: dict[int, float] = {}
+
+    def rise(i: int) -> float:
+        a, b, c = (edges[j] for j in (before[i], i, after[i]))
+        now[i] = cost(a, c) - cost(a, b) - cost(b, c)
+        return now[i]
+
+    heap = [(rise(i), i) for i in range(1, len(edges) - 1)]
+    heapq.heapify(heap)
+    while len(now) > count:
+        value, i = heapq.heappop(heap)
+        if now.get(i) != value:  # merged already, or a neighbour was
+            continue
+        del now[i]
+        after[before[i]], before[after[i]] = after[i], before[i]
+        for j in (before[i], after[i]):
+            if j in now:
+                heapq.heappush(heap, (rise(j), j))
+    return [edges[i] for i in sorted(now)]
 
 
 def change_score(x, t, size):
@@ -260,11 +285,13 @@ def kde_density(points: np.ndarray, at: np.ndarray, block: int = 1024) -> np.nda
     return np.concatenate([np.exp(-0.5 * _nearest(b[i : i + block], a)).sum(axis=1) for i in range(0, len(b), block)]) / norm
 
 
-def score_series(df: DataFrame, ctx, item: str, names: list[str], run: Callable, size: int, scale: bool = False) -> DataFrame:
+def score_series(df: DataFrame, ctx, item: str, names: list[str], run: Callable, size: int, scale: bool = False, long: Callable | None = None) -> DataFrame:
     """The template: per entity score the series in time order and join the scores back by key.
 
-    Nulls are filled in time and at the ends with 0.  A series of no more rows than
+    Nulls are filled in time and at the start with 0.  A series of no more rows than
     the window is not scored: null.  Only key, time and metric go through Python.
+    Entities of over ``long_series.LONG`` rows are scored in blocks by ``long(rows,
+    size, scale)``, where there is one.
     """
     rows = df.select(F.col(ctx.entity).alias("_e"), F.col(ctx.timestamp).alias("_t"), F.col(item).cast("double").alias("_x"))
     fields = ", ".join(f"`{n}` double" for n in names)
@@ -285,33 +312,42 @@ def score_series(df: DataFrame, ctx, item: str, names: list[str], run: Callable,
             out[n] = stretch(np.asarray(s, float), len(x))
         return out.drop_duplicates("_t")
 
+    beyond = None
+    if long is not None:
+        many = rows.groupBy("_e").count().where(F.col("count") > long_series.LONG).select("_e")
+        if many.take(1):
+            many = staged(many)
+            beyond = long(rows.join(small(many), "_e", "left_semi"), size, scale)
+            rows = rows.join(small(many), "_e", "left_anti")
     # dealt by a fixed number: adaptive merging goes by bytes and would put work of minutes in one task
     spread = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_e")
     scored = spread.groupBy("_e").applyInPandas(group, f"_e {rows.schema['_e'].dataType.simpleString()}, _t {rows.schema['_t'].dataType.simpleString()}, {fields}")
+    if beyond is not None:
+        scored = scored.unionByName(beyond.toDF("_e", "_t", *names))
     scored = scored.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
     joined = df.join(scored, (F.col(ctx.entity) == F.col("_e")) & (F.col(ctx.timestamp) == F.col("_t")), "left")
     return joined.drop("_e", "_t")
 
 
-def _scorer(name: str, run: Callable, versions: bool = True) -> None:
+def _scorer(name: str, run: Callable, versions: bool = True, long: Callable | None = None) -> None:
     @operator(name, inputs=("input_item",), outputs=("output_item",))
     def score(df, ctx, input_item, output_item, windowsize=12, expr=None):
-        return score_series(df, ctx, input_item, [output_item], run, windowsize)
+        return score_series(df, ctx, input_item, [output_item], run, windowsize, long=long)
 
     if versions:
 
         @operator(f"{name}V2", inputs=("input_item",), outputs=("output_item",))
         def score_scaled(df, ctx, input_item, output_item, windowsize=12, normalize=True, expr=None):
-            return score_series(df, ctx, input_item, [output_item], run, windowsize, scale=normalize)
+            return score_series(df, ctx, input_item, [output_item], run, windowsize, scale=normalize, long=long)
 
 
-_scorer("SpectralAnomalyScore", spectral, versions=False)
+_scorer("SpectralAnomalyScore", spectral, versions=False, long=lambda rows, size, scale: long_series.spectral_scores(rows, size, scale, {"score": "score"}))
 _scorer("KMeansAnomalyScore", kmeans_score)
-_scorer("GeneralizedAnomalyScore", covariance_score)
-_scorer("NoDataAnomalyScore", no_data_score, versions=False)
-_scorer("FFTbasedGeneralizedAnomalyScore", fft_score)
-_scorer("SaliencybasedGeneralizedAnomalyScore", saliency_score)
-_scorer("MatrixProfileAnomalyScore", matrix_profile, versions=False)
+_scorer("GeneralizedAnomalyScore", covariance_score, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, divide=300.0))
+_scorer("NoDataAnomalyScore", no_data_score, versions=False, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, of_gaps=True))
+_scorer("FFTbasedGeneralizedAnomalyScore", fft_score, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, "spectrum"))
+_scorer("SaliencybasedGeneralizedAnomalyScore", saliency_score, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, centred=False))
+_scorer("MatrixProfileAnomalyScore", matrix_profile, versions=False, long=long_series.profile_scores)
 _scorer("ChangePointDetector", change_score, versions=False)
 
 
@@ -319,21 +355,8 @@ _scorer("ChangePointDetector", change_score, versions=False)
 def spectral_score_ext(df, ctx, input_item, output_item, inv_zscore, signal_energy=None, windowsize=12):
     names = [output_item, inv_zscore] + ([signal_energy] if signal_energy else [])
     parts = ("score", "inverse", "energy")[: len(names)]
-    return score_series(df, ctx, input_item, names, lambda x, t, size: spectral(x, t, size, parts), windowsize)
-
-
-@operator("RobustThresholdKDE", inputs=("input_item",), outputs=("output_item",))
-def robust_threshold_kde(df, ctx, input_item, threshold, output_item):
-    """True inside the range of values whose density reaches ``threshold`` of the largest."""
-
-    def inside(x, t, size):
-        grid = np.linspace(x.min(), x.max(), 256)
-        d = kde_density(x[:, None], grid[:, None])
-        good = grid[d >= threshold * d.max()]
-        return ((x >= good.min()) & (x <= good.max())).astype(float)
-
-    out = score_series(df, ctx, input_item, [output_item], inside, 2)
-    return out.withColumn(output_item, F.col(output_item) > 0)
+    long = lambda rows, size, scale: long_series.spectral_scores(rows, size, scale, dict(zip(parts, parts)))
+    return score_series(df, ctx, input_item, names, lambda x, t, size: spectral(x, t, size, parts), windowsize, long=long)
 
 
 def dampen(x: np.ndarray, power: float = 0.9) -> np.ndarray:

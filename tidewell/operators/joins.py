@@ -10,13 +10,26 @@ from pyspark.sql import functions as F
 from tidewell.catalog import Context, listed, operator
 from tidewell.functions.scalars import micros
 
-#: Rows of a lookup side that are sent to every task; beyond this both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a lookup side that are sent to every task; beyond either both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint where it has at most ``rows`` rows; counting stops beyond."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 a column, and the length of texts and of nested values as text."""
+    total = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif kind in ("array", "map", "struct", "variant"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return total
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``rows`` rows and ``most`` bytes; reading stops beyond the rows."""
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(_bytes(df).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], items: list[str], names: list[str] | None = None) -> DataFrame:
@@ -35,7 +48,7 @@ def database_lookup(df, ctx, lookup_table_name, lookup_keys, lookup_items, outpu
 
 
 #: The companies of the sample table.
-COMPANIES = [("ABC", "USD", 100, "2005-02-01 07:00:00"), ("ACME", "CAD", 120, "1988-01-01 07:00:00"), ("JDI", "USD", 352, "1967-02-28 09:00:00")]
+COMPANIES = [("ABC", "USD", 100, "2005-02-01 07:00:00"), ("ACME", "CAD", 120, "1988-01-01 05:00:00"), ("JDI", "USD", 352, "1967-02-28 09:00:00")]
 
 
 @operator("LookupCompany", outputs=("output_items",))

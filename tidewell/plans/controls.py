@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.metadata
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewell.catalog import listed, operator
@@ -50,8 +51,6 @@ def python_function(df, ctx, function, input_items, output_item, parameters=None
 
     Source text is not executed.
     """
-    import pandas as pd
-
     call = FUNCTIONS[function] if isinstance(function, str) else function
     inputs = listed(input_items)
 

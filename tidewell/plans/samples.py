@@ -18,7 +18,7 @@ HOUR = Granularity("hour", "h")
 def make_sample(spark: SparkSession, name: str, metrics: dict[str, tuple[float, float]], steps: list[Step] | None = None, aggregates: dict | None = None, entities: int = 5, start: datetime = datetime(2024, 1, 1), end: datetime = datetime(2024, 1, 3), freq: str = "5 minutes", categoricals: dict[str, list[str]] | None = None, **fields) -> EntityType:
     ids = [f"{name}{i:02d}" for i in range(entities)]
     source = time_series(spark, ids, start, end, metrics, categoricals, freq=freq)
-    dim = dimension(spark, ids, domains={"manufacturer": ["GHI Industries", "Rentech"]})
+    dim = dimension(spark, ids, domains={"manufacturer": ["maker_1", "maker_2"]})
     return EntityType(name, source, dimension=dim, steps=steps or [], aggregates=aggregates or {DAY: [Aggregate("Mean", m, f"mean_{m}") for m in metrics]}, **fields)
 
 
@@ -49,9 +49,9 @@ def robot(spark: SparkSession) -> EntityType:
     ]
     shift = Granularity("shift", None, ("shift_day", "shift_id"), True)
     aggregates = {DAY: [Aggregate("Sum", "work", "daily_work"), Aggregate("Maximum", "torque", "max_torque")], shift: [Aggregate("Mean", "work", "shift_work")]}
-    tables = {"operator_changes": changes(spark, ids, "operator", ["Fred", "Mary", "Sue"], start, end), "maintenance": activities(spark, ids, ["PM", "UM"], start, end)}
+    tables = {"operator_changes": changes(spark, ids, "operator", ["operator_1", "operator_2", "operator_3"], start, end), "maintenance": activities(spark, ids, ["PM", "UM"], start, end)}
     metrics = {"acc": (5.0, 2.0), "torque": (10.0, 4.0), "load": (80.0, 10.0), "speed": (3.0, 1.0), "travel_time": (1.0, 0.2)}
-    return make_sample(spark, "robot", metrics, steps, aggregates, start=start, end=end, categoricals={"plant_code": ["Zhongshun Heat", "New York"]}, tables=tables, alerts=["strain"])
+    return make_sample(spark, "robot", metrics, steps, aggregates, start=start, end=end, categoricals={"plant_code": ["plant_1", "plant_2"]}, tables=tables, alerts=["strain"])
 
 
 def workstation(spark: SparkSession) -> EntityType:

@@ -548,7 +548,12 @@ for _name, _kind in {
     _score(_name, _kind)
 
 
-@query("kde_threshold")
+@query("kde_threshold", """with s as (select user_id, count(value) as n, min(value) as low, coalesce(stddev_samp(value), 0) * pow(count(value), -0.2) as h from events group by 1),
+    u as (select e.user_id, (value - low) / h * 8 as u from events e join s on s.user_id = e.user_id where h > 0),
+    w as (select user_id, c, sum(w) as w from (select user_id, floor(u)::bigint as c, 1 + floor(u) - u as w from u union all select user_id, floor(u)::bigint + 1, u - floor(u) from u) group by 1, 2),
+    d as (select user_id, c + k as c, sum(w * exp(-0.5 * k * k / 64.0)) as d from w, (select unnest(range(-40, 41)) as k) group by 1, 2),
+    r as (select user_id, min(c) as a, max(c) as b from (select *, max(d) over (partition by user_id) as top from d) where d >= 0.05 * top group by 1)
+    select event_id, value between low + coalesce(a, 0) * h / 8 and low + coalesce(b, 0) * h / 8 as inside from events e join s on s.user_id = e.user_id left join r on r.user_id = e.user_id""")
 def kde_threshold(spark, sf):
     return Step("RobustThresholdKDE", input_item="value", threshold=0.05, output_item="inside").apply(events(spark, sf, "event_id", "value"), CTX).select("event_id", "inside")
 
@@ -569,7 +574,18 @@ def kde_score(spark, sf):
 
 @query("gbt_regressor")
 def gbt_regressor(spark, sf):
-    return Step("GBMRegressor", features=["value", "hour"], targets=["y"], predictions=["p"], n_estimators=5).apply(_with_hour(spark, sf), CTX).select("event_id", "p")
+    return Step("GBMRegressor", features=["value", "hour"], targets=["y"], predictions=["p"], n_estimators=3, max_depth=3).apply(_with_hour(spark, sf), CTX).select("event_id", "p")
+
+
+@query("gbm_forecast", """with d as (select user_id, date_trunc('day', ts)::timestamp as ts, avg(value) as y from events group by 1, 2),
+    g as (select *, ts - lag(ts) over (partition by user_id order by ts) as gap from d),
+    l as (select user_id, max(ts) as last, quantile_disc(gap, 0.5) as gap from g group by 1 having count(gap) > 0)
+    select user_id, ts, false as ahead from d union all select user_id, last + k * gap, true from l, (select unnest([1, 2]) as k)""")
+def gbm_forecast(spark, sf):
+    """Daily means two rows beyond each user's data; SQL gives the rows, tests/test_boosting.py the values."""
+    daily = events(spark, sf, "value").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("y"))
+    step = Step("GBMForecaster", features=["y"], targets=["y"], predictions=["p"], lags=[2, 3], n_estimators=2, max_depth=2, least_rows=3)
+    return step.apply(daily, CTX).select("user_id", "ts", F.col("y").isNull().alias("ahead"))
 
 
 # injected anomalies

@@ -121,6 +121,23 @@ RESOURCE_CALENDAR = "deviceid string, start_date timestamp_ntz, end_date timesta
 JOB_LOG = "object_type string, object_name string, schedule string, execution_date timestamp_ntz, previous_execution_date timestamp_ntz, next_execution_date timestamp_ntz, status string, startup_log string, execution_log string, trace string"
 
 
+#: A log has a time of its own and whatever else it is given.
+SYSTEM_LOG = "timestamp_utc timestamp_ntz"
+
+
+def dimension_schema(attributes: dict[str, str]) -> str:
+    """Attributes of entities that don't change."""
+    return ", ".join(["deviceid string", *(f"`{n}` {k}" for n, k in attributes.items())])
+
+
+def system_log_schema(more: dict[str, str]) -> str:
+    return ", ".join([SYSTEM_LOG, *(f"`{n}` {k}" for n, k in more.items())])
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
 def change_schema(prop: str, kind: str = "string") -> str:
     return f"deviceid string, start_date timestamp_ntz, end_date timestamp_ntz, `{prop}` {kind}"
 
@@ -169,6 +186,15 @@ def delete_older(df: DataFrame, timestamp: str, older_than_days: int, now: datet
     return df.where(F.col(timestamp) >= F.lit(now - timedelta(days=older_than_days)))
 
 
+@operator("SamplePreLoad", outputs=("output_item",), kind="preload")
+def log_start(df, ctx, dummy_items=None, output_item=None, table_name="sample_pre_load"):
+    """A row in a log table that tells of the run's start."""
+    spark = df.sparkSession
+    create_table(spark, table_name, system_log_schema({"status": "string"}))
+    write_frame(spark.createDataFrame([(ctx.launch or datetime.now(), "True")], system_log_schema({"status": "string"})), table_name)
+    return df.withColumn(output_item, F.lit(True)) if output_item else df
+
+
 @operator("DeleteInputData", outputs=("output_item",), kind="preload")
 def delete_input_data(df, ctx, older_than_days, output_item=None, dummy_items=None):
     out = delete_older(df, ctx.timestamp, older_than_days, ctx.end or datetime.now())

@@ -36,26 +36,41 @@ def occurrence_alerts(stream: DataFrame, entity: str, ts: str, condition, rule:
     return rows.groupBy("e").applyInPandasWithState(step, "e string, t timestamp", "memory string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def no_data_alerts_stream(stream: DataFrame, entity: str, ts: str, duration_s: float, late: str = "0 seconds") -> DataFrame:
-    """entity and time at which no row has come for ``duration_s`` of event time; one alert a gap."""
+def no_data_alerts_stream(stream: DataFrame, entity: str, ts: str, duration_s: float, late: str = "0 seconds", cooldown_s: float | None = None, give_up_s: int = 7 * 86_400) -> DataFrame:
+    """entity and time of each alert that data has been missing, as batch runs find them.
+
+    A gap of more than ``duration_s`` alerts at its start + duration and then every
+    ``cooldown_s`` (default: the duration) until the next row.  Gaps that are still
+    open alert as the watermark passes; an entity without rows for ``give_up_s`` is
+    forgotten.  A late row does not take back alerts of the gap that it falls into.
+    """
+    wait, again = round(duration_s * 1e6), round((cooldown_s or duration_s) * 1e6)
     rows = stream.select(F.col(entity).cast("string").alias("e"), F.col(ts).cast("timestamp").alias("t")).withWatermark("t", late)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (None, 0)
+        mark, alerts = state.getCurrentWatermarkMs() * 1000, []
         if state.hasTimedOut:
-            last = state.get[0]
+            while last + wait + told * again <= mark:
+                alerts.append(last + wait + told * again)
+                told += 1
+            gone = mark - last > give_up_s * 1_000_000
+        else:
+            gone = False
+            for t in sorted(x for b in batches for x in b["t"].astype("datetime64[us]").astype("int64").tolist()):
+                if last is not None and t > last:
+                    alerts += range(last + wait + told * again, t, again)
+                if last is None or t > last:
+                    last, told = t, 0
+        if gone:
             state.remove()
-            yield pd.DataFrame({"e": [key[0]], "t": [pd.Timestamp(last + int(duration_s * 1e6), unit="us")]})
-            return
-        times = sorted(x for b in batches for x in b["t"].astype("datetime64[us]").astype("int64").tolist())
-        known = ([state.get[0]] if state.exists else []) + times
-        gaps = [a + int(duration_s * 1e6) for a, b in zip(known, known[1:]) if b - a > duration_s * 1e6]
-        state.update((known[-1],))
-        due = max(int(known[-1] / 1000 + duration_s * 1000), state.getCurrentWatermarkMs()) + 1
-        state.setTimeoutTimestamp(due)
-        if gaps:
-            yield pd.DataFrame({"e": [key[0]] * len(gaps), "t": pd.to_datetime(gaps, unit="us")})
-
-    return rows.groupBy("e").applyInPandasWithState(step, "e string, t timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        else:
+            state.update((last, told))
+            state.setTimeoutTimestamp(max((last + wait + told * again) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if alerts:
+            yield pd.DataFrame({"e": [key[0]] * len(alerts), "t": pd.to_datetime(alerts, unit="us")})
+
+    return rows.groupBy("e").applyInPandasWithState(step, "e string, t timestamp", "last long, told long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_means(stream: DataFrame, entity: str, ts: str, item: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
