@@ -61,7 +61,7 @@ def test_generated_dimensions_activities_and_changes(spark):
 def test_generator_steps_add_rows(spark):
     df = points(spark, [("a", 0, 1.0)])
     ctx = Context("id", "ts", start=START, end=START + timedelta(hours=1))
-    for name, extra in (("EntityDataGenerator", {"parameters": {"freq": "10 minutes"}}), ("IoTEntityDataGenerator", {})):
+    for name, extra in (("EntityDataGenerator", {"parameters": {"freq": "10 minutes"}}), ("DeviceDataGenerator", {})):
         out = Step(name, ids=["x", "y"], **extra).apply(df, ctx)
         assert out.columns == df.columns
         assert out.where("id = 'x'").count() == (7 if extra else 13) and out.where("id = 'a'").count() == 1
@@ -125,7 +125,7 @@ def test_controls(spark):
     assert found["n"] == np.__version__ and found["none"] is None
     ctx = Context("id", "ts", constants={"b": 2, "a": "x"})
     assert Step("TraceConstants").apply(df, ctx).first()["trace_constants"] == '{"a": "x", "b": "2"}' == ctx.settings["trace"][0]
-    Step("IoTCalcSettings", checkpoint_by_entity=False, production_mode=None).apply(df, ctx)
+    Step("CalcSettings", checkpoint_by_entity=False, production_mode=None).apply(df, ctx)
     assert ctx.settings["checkpoint_by_entity"] is False and "production_mode" not in ctx.settings
 
 
@@ -134,7 +134,7 @@ def test_registered_functions(spark):
     controls.make_function("times", lambda rows, p: rows["v"] * p["by"])
     out = Step("PythonFunction", function="times", input_items=["v"], output_item="z", parameters={"by": 3}).apply(df, CTX)
     assert sorted(r["z"] for r in out.collect()) == [3.0, 12.0, 18.0]
-    stored = Step("IoTCosFunction", function_name="times", input_items=["v"], parameters={"by": 2}).apply(df, CTX)
+    stored = Step("StoredFunction", function_name="times", input_items=["v"], parameters={"by": 2}).apply(df, CTX)
     assert sorted(r["times"] for r in stored.collect()) == [2.0, 8.0, 12.0]
     whole = controls.apply_per_group(df, ["id"], lambda f: f.assign(v=f["v"] - f["v"].mean()), "id string, ts timestamp_ntz, v double")
     assert sorted(r["v"] for r in whole.collect()) == [-1.5, 0.0, 1.5]
@@ -228,7 +228,7 @@ def test_files_and_tables(spark, tmp_path):
     df = points(spark, [("a", 0, 1.0), ("b", 1, 4.0)])
     Step("DataWriterFile", path=str(tmp_path / "csv")).apply(df, CTX)
     assert sorted(r["v"] for r in tables.open_table(spark, str(tmp_path / "csv"), "csv").collect()) == [1.0, 4.0]
-    out = Step("SaveCosDataFrame", filename=str(tmp_path / "saved"), columns=["id", "v"]).apply(df, CTX)
+    out = Step("SaveDataFrame", filename=str(tmp_path / "saved"), columns=["id", "v"]).apply(df, CTX)
     assert out.where("save_df_result").count() == 2 and spark.read.parquet(str(tmp_path / "saved")).columns == ["id", "v"]
     name = f"t_{uuid.uuid4().hex}"
     assert not tables.table_exists(spark, name)

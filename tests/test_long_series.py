@@ -17,15 +17,15 @@ def frame(spark, n=1500, odd=True):
     rng = np.random.default_rng(2)
     x = np.sin(np.arange(n) / 9) + rng.normal(size=n) / 5
     x[n // 2 : n // 2 + 15] += 4
-    gaps = np.cumsum(rng.choice([60, 60, 60, 61], n) + 2000 * (np.arange(n) == n // 3))
-    rows = [("long", T0 + timedelta(seconds=int(gaps[i])), None if odd and i % 97 in (5, 6) or odd and i < 3 or odd and i > n - 3 else float(x[i])) for i in range(n)]
+    gaps = np.cumsum(rng.normal(60, 5, n) + 2000 * (np.arange(n) == n // 3))  # seconds: spread out, so that no half of the windows is degenerate
+    rows = [("long", T0 + timedelta(seconds=float(gaps[i])), None if odd and i % 97 in (5, 6) or odd and i < 3 or odd and i > n - 3 else float(x[i])) for i in range(n)]
     rows += [("short", T0 + timedelta(minutes=i), float(x[i])) for i in range(60)] + [("tiny", T0, 1.0)]
     return spark.createDataFrame(rows, "e string, t timestamp_ntz, v double").repartition(4)
 
 
 def scored(spark, name, whole, monkeypatch, block=200, **parameters):
     monkeypatch.setattr(long_series, "LONG", 10**9 if whole else 100)
-    for f in ("robust_scores", "spectral_scores", "profile_scores", "robust_centres", "blocks"):
+    for f in ("robust_scores", "spectral_scores", "profile_scores", "robust_centres", "blocks", "cluster_scores", "change_scores"):
         fn = getattr(long_series, f)
         defaults = list(fn.__defaults__)
         defaults[-1] = block
@@ -52,6 +52,19 @@ def test_robust_scores_agree(spark, monkeypatch, name):
     assert np.corrcoef(np.log1p(a), np.log1p(b))[0, 1] ** 2 > 0.9 and np.argmax(a) == pytest.approx(np.argmax(b), abs=15)
 
 
+def test_clusters_and_change_points_agree(spark, monkeypatch):
+    for name in ("KMeansAnomalyScore", "ChangePointDetector"):
+        whole, entities = scored(spark, name, True, monkeypatch, output_item="s")
+        split, _ = scored(spark, name, False, monkeypatch, output_item="s")
+        long = np.array([e == "long" for e in entities])
+        assert np.allclose(whole[~long], split[~long], equal_nan=True)
+        a, b = whole[long, 0], split[long, 0]
+        if name == "KMeansAnomalyScore":
+            assert np.corrcoef(a, b)[0, 1] > 0.8 and abs(int(np.argmax(a)) - int(np.argmax(b))) <= 15
+        else:
+            assert np.abs(a - b).mean() < 0.05  # mostly the same points
+
+
 def test_determinant_is_near_that_of_the_whole_series(spark):
     rng = np.random.default_rng(5)
     x = np.sin(np.arange(12_000) / 7) + rng.normal(size=12_000) / 3

@@ -168,9 +168,8 @@ def spectral(x, t, size, parts=("score",)):
     return [found[p] for p in parts]
 
 
-def kmeans_score(x, t, size, clusters=15, seed=1):
-    """Distance of each window from the centre of the nearest large cluster of k-means."""
-    w = windows_of(x, size)
+def k_means(w: np.ndarray, clusters: int = 15, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Centres after 30 rounds at most, and the cluster of each row as of the last."""
     k = max(1, min(clusters, len(w) // 2))
     rng = np.random.default_rng(seed)
     centres = w[rng.choice(len(w), k, replace=False)].astype(float)
@@ -180,17 +179,28 @@ def kmeans_score(x, t, size, clusters=15, seed=1):
         if np.allclose(new, centres):
             break
         centres = new
-    counts = np.bincount(of, minlength=k)
-    order = np.argsort(-counts)
-    # large clusters: those that hold nine tenths of the windows, or stand before a fivefold drop
+    return centres, of
+
+
+def kmeans_score(x, t, size, clusters=15, seed=1):
+    """Distance of each window from the centre of the nearest large cluster of k-means."""
+    w = windows_of(x, size)
+    centres, of = k_means(w, clusters, seed)
+    k = len(centres)
+    return np.sqrt(_nearest(w, centres[large_clusters(np.bincount(of, minlength=k))]).min(axis=1))
+
+
+def large_clusters(counts: np.ndarray) -> list[int]:
+    """The clusters that hold nine tenths of the windows, or stand before a fivefold drop, largest first."""
+    order = np.argsort(-counts, kind="stable")
     held, large = 0, []
     for place, j in enumerate(order):
-        large.append(j)
+        large.append(int(j))
         held += counts[j]
-        following = counts[order[place + 1]] if place + 1 < k else 0
-        if held >= 0.9 * len(w) or following and counts[j] >= 5 * following:
+        following = counts[order[place + 1]] if place + 1 < len(order) else 0
+        if held >= 0.9 * counts.sum() or following and counts[j] >= 5 * following:
             break
-    return np.sqrt(_nearest(w, centres[large]).min(axis=1))
+    return large
 
 
 def _nearest(w, centres):
@@ -240,17 +250,19 @@ def matrix_profile(x, t, size):
     return np.concatenate((out, np.full(len(x) - len(out), 1e-15)))
 
 
-def change_points(x: np.ndarray, count: int = 15, jump: int = 2) -> list[int]:
-    """Bottom-up segmentation: merge neighbours at the least rise of squared error, of equal ones the first."""
-    edges = [*range(0, len(x), jump), len(x)]
-    s1, s2 = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
-    cost = lambda a, b: s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a)
+def merged_segments(edges: list[int], sums: np.ndarray, count: int) -> list[int]:
+    """Of segments between ``edges``, merged at the least rise of squared error (of equal ones the first), the ``count`` inner edges that stay.
+
+    ``sums`` are the sums of values and of squares before each edge.
+    """
+    s1, s2 = sums
+    cost = lambda i, j: s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / (edges[j] - edges[i])
     before, after = list(range(-1, len(edges) - 1)), list(range(1, len(edges) + 1))
     now: dict[int, float] = {}
 
     def rise(i: int) -> float:
-        a, b, c = (edges[j] for j in (before[i], i, after[i]))
-        now[i] = cost(a, c) - cost(a, b) - cost(b, c)
+        a, c = before[i], after[i]
+        now[i] = float(cost(a, c) - cost(a, i) - cost(i, c))
         return now[i]
 
     heap = [(rise(i), i) for i in range(1, len(edges) - 1)]
@@ -267,6 +279,13 @@ def change_points(x: np.ndarray, count: int = 15, jump: int = 2) -> list[int]:
     return [edges[i] for i in sorted(now)]
 
 
+def change_points(x: np.ndarray, count: int = 15, jump: int = 2) -> list[int]:
+    """Bottom-up segmentation from pieces of ``jump`` values."""
+    edges = [*range(0, len(x), jump), len(x)]
+    sums = np.concatenate(([[0.0], [0.0]], np.cumsum((x, x * x), axis=1)), axis=1)[:, edges]
+    return merged_segments(edges, sums, count)
+
+
 def change_score(x, t, size):
     """A bump around each change point, as wide as half a window."""
     rows, out = np.arange(len(x)), np.zeros(len(x))
@@ -342,13 +361,13 @@ def _scorer(name: str, run: Callable, versions: bool = True, long: Callable | No
 
 
 _scorer("SpectralAnomalyScore", spectral, versions=False, long=lambda rows, size, scale: long_series.spectral_scores(rows, size, scale, {"score": "score"}))
-_scorer("KMeansAnomalyScore", kmeans_score)
+_scorer("KMeansAnomalyScore", kmeans_score, long=lambda rows, size, scale: long_series.cluster_scores(rows, size, scale))
 _scorer("GeneralizedAnomalyScore", covariance_score, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, divide=300.0))
 _scorer("NoDataAnomalyScore", no_data_score, versions=False, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, of_gaps=True))
 _scorer("FFTbasedGeneralizedAnomalyScore", fft_score, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, "spectrum"))
 _scorer("SaliencybasedGeneralizedAnomalyScore", saliency_score, long=lambda rows, size, scale: long_series.robust_scores(rows, size, scale, centred=False))
 _scorer("MatrixProfileAnomalyScore", matrix_profile, versions=False, long=long_series.profile_scores)
-_scorer("ChangePointDetector", change_score, versions=False)
+_scorer("ChangePointDetector", change_score, versions=False, long=lambda rows, size, scale: long_series.change_scores(rows, size, scale))
 
 
 @operator("SpectralAnomalyScoreExt", inputs=("input_item",), outputs=("output_item", "inv_zscore", "signal_energy"))

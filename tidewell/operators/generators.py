@@ -64,7 +64,7 @@ def entity_data_generator(df, ctx, ids, output_item=None, parameters=None):
     return df.unionByName(made, allowMissingColumns=True)
 
 
-operator("IoTEntityDataGenerator", outputs=("output_item",), kind="source")(lambda df, ctx, ids, output_item=None: entity_data_generator(df, ctx, ids, output_item))
+operator("DeviceDataGenerator", outputs=("output_item",), kind="source")(lambda df, ctx, ids, output_item=None: entity_data_generator(df, ctx, ids, output_item))
 
 
 def _numbered(df: DataFrame, ctx, factor: int, offsets: DataFrame | None = None) -> DataFrame:

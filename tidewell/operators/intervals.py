@@ -194,7 +194,7 @@ def interval_default(left: DataFrame, right: DataFrame, entity: str, ts: str, st
     return joined.withColumn(name, F.coalesce(F.col("_w.v"), F.lit(default))).drop("_w")
 
 
-@operator("IoTSCDLookupWithDefault", outputs=("output_item",))
+@operator("SCDLookupWithDefault", outputs=("output_item",))
 def scd_lookup_with_default(df, ctx, table_name, dimension_name, default_value, output_item=None, entity_name=None, start_name="start_date", end_name="end_date"):
     table = ctx.table(df.sparkSession, table_name).withColumnRenamed(entity_name or ctx.entity, ctx.entity)
     return interval_default(df, table, ctx.entity, ctx.timestamp, start_name, end_name, dimension_name, output_item or dimension_name, default_value)

@@ -8,6 +8,10 @@ the scores need of a whole series is summed over blocks:
   and the best one takes ``STEPS`` concentration steps over all windows, each a
   quantile of the distances and a sum of outer products by block.
 - Spectral energies are local to a window; their mean and spread are aggregates.
+- Clusters start from those of the drawn windows and take ``STEPS`` rounds over all
+  windows, each a sum and a count by centre and block.
+- Change points: a block's pieces are merged to ``SEGMENTS``, whose sums are merged on
+  for the entity.
 - The matrix profile holds each block against each other one of its entity and
   merges the minima.
 
@@ -32,6 +36,8 @@ from tidewell.sources.staging import staged
 LONG, BLOCK = 20_000, 8192
 #: Subsets, their windows, the centres that each gives, and the final steps over all windows.
 SUBSETS, SUBSET, CENTRES, STEPS = 5, 300, 10, 3
+#: Segments to which a block is merged before its entity's are.
+SEGMENTS = 200
 
 
 def filled(rows: DataFrame, scale: bool) -> DataFrame:
@@ -268,6 +274,117 @@ def spectral_scores(rows: DataFrame, size: int, scale: bool, names: dict[str, st
     return laid_over(series, scored, F.expr(f"(_n - {size}) div {step} + 1"), list(names.values()))
 
 
+# clusters
+
+
+def _first_centres(pdf: pd.DataFrame) -> pd.DataFrame:
+    from tidewell.operators.anomaly import k_means
+
+    centres, _ = k_means(np.array(pdf["_w"].tolist()))
+    return pd.DataFrame({"_e": [pdf["_e"].iloc[0]], "_m": [centres.ravel().tolist()]})
+
+
+def _cluster_sums(size: int, block: int):
+    """Blocks with their centres to each centre's number of windows and sum of values."""
+    from tidewell.operators.anomaly import _nearest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                e, v, m = (batch.column(k)[i].as_py() for k in range(3))
+                w, centres = _windows(v, size)[:block], np.array(m).reshape(-1, size)
+                of = _nearest(w, centres).argmin(axis=1)
+                sums = np.zeros((len(centres), size + 1))
+                np.add.at(sums, of, np.column_stack((np.ones(len(w)), w)))
+                yield pa.RecordBatch.from_arrays([pa.array([e] * sums.size, batch.schema.field(0).type), pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], ["_e", "_k", "_s"])
+
+    return run
+
+
+def _moved_centres(size: int, last: bool):
+    """Centres and their sums to the next centres; the last time to the large ones alone."""
+    from tidewell.operators.anomaly import large_clusters
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for m, sums in zip(pdf["_m"], pdf["_sums"]):
+                centres, sums = np.array(m).reshape(-1, size), np.array(sums).reshape(-1, size + 1)
+                if last:
+                    centres = centres[large_clusters(sums[:, 0])]
+                else:
+                    centres = np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(1, sums[:, :1]), centres)
+                out.append(centres.ravel().tolist())
+            yield pd.DataFrame({"_e": pdf["_e"], "_m": out})
+
+    return run
+
+
+def _cluster_distances(size: int, block: int):
+    from tidewell.operators.anomaly import _nearest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                e, b, v, m = (batch.column(k)[i].as_py() for k in range(4))
+                found = np.sqrt(_nearest(_windows(v, size)[:block], np.array(m).reshape(-1, size)).min(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([e] * len(found), batch.schema.field(0).type), pa.array(np.arange(len(found)) + b * block), pa.array(found)], ["_e", "_i", "score"])
+
+    return run
+
+
+def cluster_scores(rows: DataFrame, size: int, scale: bool, block: int = BLOCK) -> DataFrame:
+    """_e, _t and the distance ``score`` to the centre of the nearest large cluster."""
+    series = staged(filled(rows, scale))
+    dealt = staged(blocks(series, size, block=block))
+    e = dealt.schema["_e"].dataType.simpleString()
+    drawn = dealt.select("_e", "_b", "_n", "_v").mapInArrow(_drawn("plain", size, block), f"_e {e}, _k int, _w array<double>")
+    now = staged(drawn.groupBy("_e").applyInPandas(_first_centres, f"_e {e}, _m array<double>"))
+    for step in range(STEPS + 1):
+        sums = dealt.join(small(now), "_e").select("_e", "_v", "_m").mapInArrow(_cluster_sums(size, block), f"_e {e}, _k int, _s double")
+        listed = sums.groupBy("_e", "_k").agg(F.sum("_s").alias("_s")).groupBy("_e").agg(F.array_sort(F.collect_list(F.struct("_k", "_s"))).alias("_l"))
+        now = staged(now.join(listed.select("_e", F.col("_l._s").alias("_sums")), "_e").select("_e", "_m", "_sums").mapInPandas(_moved_centres(size, step == STEPS), f"_e {e}, _m array<double>"))
+    found = dealt.join(small(now), "_e").select("_e", "_b", "_v", "_m").mapInArrow(_cluster_distances(size, block), f"_e {e}, _i long, score double")
+    return laid_over(series, staged(found), F.col("_n") - size + 1, ["score"])
+
+
+# change points
+
+
+def _segments(block: int):
+    """A block's rows to SEGMENTS segments: where each ends, and its sums of values and squares."""
+    from tidewell.operators.anomaly import change_points
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["_v"].iloc[0], float)
+        ends = np.array([*change_points(x, SEGMENTS), len(x)])
+        sums = np.cumsum((x, x * x), axis=1)[:, ends - 1]
+        return pd.DataFrame({"_e": pdf["_e"].iloc[0], "_to": ends + pdf["_b"].iloc[0] * block, "_s1": np.diff(sums[0], prepend=0.0), "_s2": np.diff(sums[1], prepend=0.0)})
+
+    return run
+
+
+def _change_points(pdf: pd.DataFrame) -> pd.DataFrame:
+    from tidewell.operators.anomaly import merged_segments
+
+    pdf = pdf.sort_values("_to")
+    sums = np.concatenate(([[0.0], [0.0]], np.cumsum((pdf["_s1"], pdf["_s2"]), axis=1)), axis=1)
+    return pd.DataFrame({"_e": [pdf["_e"].iloc[0]], "_points": [merged_segments([0, *pdf["_to"].tolist()], sums, 15)]})
+
+
+def change_scores(rows: DataFrame, size: int, scale: bool, block: int = BLOCK) -> DataFrame:
+    """_e, _t and a bump ``score`` around each change point, as wide as half a window."""
+    series = staged(filled(rows, scale))
+    e = series.schema["_e"].dataType.simpleString()
+    dealt = blocks(series, 1, block=block)
+    segments = dealt.groupBy("_e", "_b").applyInPandas(_segments(block), f"_e {e}, _to long, _s1 double, _s2 double")
+    points = segments.groupBy("_e").applyInPandas(_change_points, f"_e {e}, _points array<long>")
+    firsts = series.groupBy("_e", "_t").agg(F.min("_i").alias("_i")).join(small(staged(points)), "_e")
+    wide = max(1.0, size / 2)
+    bump = F.transform("_points", lambda p: F.exp(-0.5 * ((F.col("_i") - p) / wide) * ((F.col("_i") - p) / wide)))
+    return firsts.select("_e", "_t", F.coalesce(F.array_max(bump), F.lit(0.0)).alias("score"))
+
+
 # matrix profile
 
 

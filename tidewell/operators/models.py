@@ -408,5 +408,5 @@ def score_with(df: DataFrame, inputs: list[str], schema: str, call) -> DataFrame
     return df.mapInPandas(run, f"{fields}, {schema}")
 
 
-operator("InvokeWMLModel", inputs=("input_items",), outputs=("output_items",))(lambda df, ctx, input_items, output_items, call: score_with(df, listed(input_items), ", ".join(f"`{o}` double" for o in listed(output_items)), call))
-operator("InvokeWMLClassifier", inputs=("input_items",), outputs=("output_items", "confidence"))(lambda df, ctx, input_items, output_items, confidence, call: score_with(df, listed(input_items), ", ".join([*(f"`{o}` string" for o in listed(output_items)), f"`{confidence}` double"]), call))
+operator("InvokeServedModel", inputs=("input_items",), outputs=("output_items",))(lambda df, ctx, input_items, output_items, call: score_with(df, listed(input_items), ", ".join(f"`{o}` double" for o in listed(output_items)), call))
+operator("InvokeServedClassifier", inputs=("input_items",), outputs=("output_items", "confidence"))(lambda df, ctx, input_items, output_items, confidence, call: score_with(df, listed(input_items), ", ".join([*(f"`{o}` string" for o in listed(output_items)), f"`{confidence}` double"]), call))

@@ -39,7 +39,7 @@ def trace_constants(df, ctx, output_item="trace_constants", dummy_items=None):
     return df.withColumn(output_item, F.lit(text))
 
 
-@operator("IoTCalcSettings", kind="settings")
+@operator("CalcSettings", kind="settings")
 def calc_settings(df, ctx, **settings):
     ctx.settings.update({k: v for k, v in settings.items() if v is not None})
     return df
@@ -69,7 +69,7 @@ def make_function(name: str, function) -> None:
     FUNCTIONS[name] = function
 
 
-operator("IoTCosFunction", inputs=("input_items",), outputs=("output_item",))(lambda df, ctx, function_name, input_items, output_item=None, parameters=None: python_function(df, ctx, function_name, input_items, output_item or function_name, parameters))
+operator("StoredFunction", inputs=("input_items",), outputs=("output_item",))(lambda df, ctx, function_name, input_items, output_item=None, parameters=None: python_function(df, ctx, function_name, input_items, output_item or function_name, parameters))
 
 
 def apply_per_group(df, keys: list[str], function, schema: str):

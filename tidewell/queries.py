@@ -305,7 +305,7 @@ def scd_asof(spark, sf):
     select e.event_id, coalesce(arg_max(c.state, struct_pack(s := c.s, p := c.state)), 'none') as state from events e left join c on e.user_id = c.user_id and e.ts >= c.s and e.ts < c.x group by e.event_id""")
 def scd_default(spark, sf):
     ctx = Context("user_id", "ts", tables={"changes": _changes(spark, sf).withColumn("end_date", F.col("start_date") + F.expr("interval 8 hours"))})
-    return Step("IoTSCDLookupWithDefault", table_name="changes", dimension_name="state", default_value="none", output_item="state").apply(events(spark, sf, "event_id"), ctx).select("event_id", "state")
+    return Step("SCDLookupWithDefault", table_name="changes", dimension_name="state", default_value="none", output_item="state").apply(events(spark, sf, "event_id"), ctx).select("event_id", "state")
 
 
 _PARTS = ("select user_id, ts, value, null::varchar as t from events where event_type = 'view'", "select user_id, ts, value * 2 as value, event_type as t from events where value > 50")
@@ -455,7 +455,9 @@ def shift_identify(spark, sf):
     return Step("IdentifyShiftFromTimestamp", shifts=SHIFTS).apply(events(spark, sf, "event_id"), CTX).select("event_id", "shift_day", "shift_id", "shift_start")
 
 
-@query("shift_calendar", ORACLE_SQL["shift_identify"])
+@query("shift_calendar", """with c as (select d::timestamp as shift_day, shift_id, d::timestamp + to_minutes(a) as shift_start
+      from (select unnest(generate_series(min(ts)::date - 2, max(ts)::date + 1, interval 1 day)) as d from events), (values ('1', 330), ('2', 840), ('3', 1260)) v(shift_id, a))
+    select event_id, shift_day, shift_id, shift_start from events e asof left join c on e.ts >= c.shift_start""")
 def shift_calendar(spark, sf):
     out = Step("ShiftCalendar", shift_definition=SHIFTS, period_start_date="shift_start", period_end_date="shift_end").apply(events(spark, sf, "event_id"), CTX)
     return out.select("event_id", "shift_day", "shift_id", "shift_start")

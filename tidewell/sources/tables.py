@@ -207,7 +207,7 @@ def write_data_frame(df, ctx, input_items, out_table_name, output_status="output
     return df.withColumn(output_status, F.lit(True))
 
 
-@operator("SaveCosDataFrame", inputs=("columns",), outputs=("output_item",), kind="sink")
+@operator("SaveDataFrame", inputs=("columns",), outputs=("output_item",), kind="sink")
 def save_data_frame(df, ctx, filename, columns=None, output_item="save_df_result"):
     (df.select(*listed(columns)) if columns else df).write.mode("overwrite").parquet(filename)
     return df.withColumn(output_item, F.lit(True))
