@@ -1,0 +1,16 @@
+"""Rows that an order by whole seconds leaves open."""
+
+from datetime import datetime, timedelta
+
+from tidewell.catalog import Context
+from tidewell.operators import windows
+
+
+def test_rows_of_one_second_follow_by_their_full_times(spark):
+    start = datetime(2024, 1, 1)
+    # off, on and off again within a second, then 10 seconds until the next row
+    rows = [(0.9, 0), (0.5, 1), (0.1, 0), (10.2, 1), (15.0, 0)]
+    ctx = Context("e", "t")
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame([("a", start + timedelta(seconds=s), f"0,{on},{int(s)},a") for s, on in order], "e string, t timestamp_ntz, s string").coalesce(1)
+        assert windows.decoded_time_in_state(df, ctx, "s", "seconds", ["e"]).first()["seconds"] == 5.0
