@@ -1,0 +1,65 @@
+"""Series of one length that are scored together against each alone."""
+
+from datetime import datetime, timedelta
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tidewell.catalog import Context, Step
+from tidewell.operators import anomaly
+
+PAIRS = {
+    "values": (anomaly.covariance_score, anomaly.by_distances(anomaly.value_windows, 300.0)),
+    "gaps": (anomaly.no_data_score, anomaly.by_distances(anomaly.gap_windows)),
+    "spectra": (anomaly.fft_score, anomaly.by_distances(anomaly.spectrum_windows)),
+    "plain": (anomaly.saliency_score, anomaly.by_distances(anomaly.plain_windows)),
+}
+
+
+def stack(length, count=5):
+    rng = np.random.default_rng(length)
+    x = rng.exponential(50, (count, length)).round(2)
+    x[0], x[1, : length // 3], x[2, length // 2] = 3.3, 7.1, 1e6
+    return x, np.cumsum(rng.exponential(600, (count, length)), axis=1)
+
+
+@pytest.mark.parametrize("kind", PAIRS)
+@pytest.mark.parametrize("length", [14, 40, 67, 300])
+def test_scores_together_are_those_of_each_series(kind, length):
+    one, together = PAIRS[kind]
+    x, t = stack(length)
+    found = together(x, t, 12)
+    for i in range(len(x)):
+        np.testing.assert_allclose(found[i], one(x[i], t[i], 12), rtol=1e-5, atol=1e-6)
+
+
+def test_whole_series_end_with_their_entity(monkeypatch):
+    monkeypatch.setattr(anomaly, "GATHERED", 7)
+    names = ["a"] * 3 + ["b"] * 20 + ["c"] + ["d"] * 2 + ["e"] * 6
+    batches = [pa.RecordBatch.from_arrays([pa.array(names[i : i + 4], pa.string())], ["_e"]) for i in range(0, len(names), 4)]
+    seen = []
+    for table, edges in anomaly._whole_series(iter([batches[0].slice(0, 0), *batches])):
+        listed = table.column("_e").to_pylist()
+        assert edges[-1] == len(listed)
+        seen += [listed[a:b] for a, b in zip(edges[:-1], edges[1:])]
+    assert seen == [[k] * names.count(k) for k in "abcde"]
+
+
+def test_rows_get_the_scores_of_their_entity(spark):
+    x, _ = stack(40, 4)
+    start = datetime(2024, 1, 1)
+    rows = [(f"e{i}" if i < 3 else None, start + timedelta(minutes=j // 2 * 2 if i == 1 else j), None if j in (0, 7, 8, 39) else float(x[i, j])) for i in range(4) for j in range(40)]
+    rows += [("short", start + timedelta(minutes=j), 1.0) for j in range(12)]
+    df = spark.createDataFrame(rows, "e string, t timestamp_ntz, x double")
+    out = Step("GeneralizedAnomalyScore", input_item="x", output_item="s").apply(df, Context("e", "t")).collect()
+    assert len(out) == len(rows)
+    assert all((r["s"] is None) == (r["e"] in (None, "short")) for r in out)
+    for i in (0, 2):
+        mine = sorted((r["t"], r["s"]) for r in out if r["e"] == f"e{i}")
+        filled = x[i].copy()
+        filled[0], filled[7], filled[8], filled[39] = 0.0, x[i, 6] + (x[i, 9] - x[i, 6]) / 3, x[i, 6] + (x[i, 9] - x[i, 6]) * 2 / 3, x[i, 38]
+        alone = anomaly.stretch(anomaly.covariance_score(filled, None, 12), 40)
+        np.testing.assert_allclose([s for _, s in mine], alone, rtol=1e-5, atol=1e-9)
+    twice = sorted((r["t"], r["s"]) for r in out if r["e"] == "e1")
+    assert all(a == b for a, b in zip(twice[::2], twice[1::2]))
