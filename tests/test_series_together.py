@@ -63,3 +63,11 @@ def test_rows_get_the_scores_of_their_entity(spark):
         np.testing.assert_allclose([s for _, s in mine], alone, rtol=1e-5, atol=1e-9)
     twice = sorted((r["t"], r["s"]) for r in out if r["e"] == "e1")
     assert all(a == b for a, b in zip(twice[::2], twice[1::2]))
+
+
+def test_clusters_together_are_those_of_each_series():
+    for length in (14, 40, 300):
+        x, t = stack(length)
+        found = anomaly.kmeans_scores(x, t, 12)
+        for i in range(len(x)):
+            np.testing.assert_allclose(found[i], anomaly.kmeans_score(x[i], t[i], 12), rtol=1e-6, atol=1e-6 * max(1.0, abs(x[i]).max()))
