@@ -39,7 +39,7 @@ def test_whole_series_end_with_their_entity(monkeypatch):
     names = ["a"] * 3 + ["b"] * 20 + ["c"] + ["d"] * 2 + ["e"] * 6
     batches = [pa.RecordBatch.from_arrays([pa.array(names[i : i + 4], pa.string())], ["_e"]) for i in range(0, len(names), 4)]
     seen = []
-    for table, edges in anomaly._whole_series(iter([batches[0].slice(0, 0), *batches])):
+    for table, edges in anomaly.whole_series(iter([batches[0].slice(0, 0), *batches])):
         listed = table.column("_e").to_pylist()
         assert edges[-1] == len(listed)
         seen += [listed[a:b] for a, b in zip(edges[:-1], edges[1:])]
