@@ -1,0 +1,12 @@
+"""Where the cells of a density are shuffled."""
+
+from tidewell.operators import density
+
+
+def test_what_cells_give_their_neighbours_is_not_shuffled(spark):
+    rows = spark.createDataFrame([("a", float(i % 7)) for i in range(50)] + [("b", 1.0), ("b", 2.0)], "_e string, _x double")
+    plan = density.density_cells(rows, density.bandwidths(rows))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    given = next(i for i, line in enumerate(lines) if "Generate " in line)  # the first from the top
+    shuffles = [line for line in lines[:given] if "Exchange" in line and "BroadcastExchange" not in line]
+    assert not shuffles, plan
