@@ -1,0 +1,20 @@
+"""Scores of boosted trees where models and rows meet in sorted batches."""
+
+import json
+
+import pyarrow as pa
+
+from tidewell.operators import boosting
+
+
+def payload(base):
+    return json.dumps({"base": base, "edges": [[1.0]], "trees": 1, "depth": 1, "nodes": json.dumps([{"tree": 0, "node": 1, "feature": 0, "bin": 0}, {"tree": 0, "node": 2, "value": 0.0}, {"tree": 0, "node": 3, "value": 0.5}])})
+
+
+def test_a_model_serves_the_rows_after_it_over_batches():
+    rows = [("a", 0, None, payload(1.0)), ("a", 0, [0.0], None), ("a", 0, [2.0], None), ("a", 1, [2.0], None), ("b", 0, None, payload(5.0)), ("b", 0, [2.0], None), (None, 0, [2.0], None), ("c", 0, [2.0], None)]
+    kind = pa.schema([("_e", pa.string()), ("_part", pa.int32()), ("_x", pa.list_(pa.float64())), ("_payload", pa.string())])
+    for size in (1, 2, 3, 8):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows[i : i + size]], kind) for i in range(0, len(rows), size)]
+        found = [(r["_e"], r["p"]) for b in boosting._scorer("p", ["_e"])(iter(batches)) for r in b.to_pylist()]
+        assert found == [("a", 1.0), ("a", 1.5), ("a", None), ("b", 5.5), (None, None), ("c", None)]
