@@ -1,0 +1,31 @@
+"""Line dedup: what is read again for verification, and its limits made tiny."""
+
+import random
+
+import pytest
+from test_texts import test_line_dedup_against_brute_force as brute_force
+
+from tidewell.llm import line_dedup
+
+
+def test_long_lines_apart_are_not_read_again(spark, monkeypatch):
+    rng, words, held = random.Random(4), [f"w{i}" for i in range(400)], []
+    lines = [" ".join(rng.sample(words, 150)) for _ in range(60)]
+    texts = [*lines, lines[7] + " more", lines[9].upper() + " words here"]
+    verified = line_dedup._verified
+
+    def counted(pairs, *rest):
+        held.append(pairs.select("sid", "e").distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in line_dedup.removed_lines(docs).collect()) == [60, 61]
+    assert 2 <= sum(held) <= 10
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_line_dedup_with_tiny_limits(spark, monkeypatch, rows):
+    for name, value in {"HOT": 2, "LONG": 3, "BROADCAST_ROWS": rows}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    brute_force(spark)

@@ -11,13 +11,13 @@ Two sets of n and m words with Jaccard similarity of num/den or more share at le
 - from a shared word at places i and j on, enough are left: min(n - i, m - j) >= need
   (positional filter), which also bounds the lengths (length filter);
 - at most n + m - 2 need words are in one set alone, and the 64-bit parity sketches of
-  the two sets differ in no more bits than that.
+  the two sets differ in no more bits than that; long sets have sketches of 128 bits as well.
 
 What passes is verified on the full sets of words.  A line goes if an earlier line,
 by (document, line number), is that similar, whether or not that line stays itself.
 
-Lines of one set are one row of the join.  Within the lines that share a word, each
-is first held against the first of them and the two before it, which settles most
+Lines of one set are one row of the join.  Where many sets share a word, each is
+first held against the first of them and the two before it, which settles most
 members of a large group of near copies by a number of pairs that grows with the
 lines alone; only lines not settled so meet all earlier ones.
 """
@@ -34,19 +34,26 @@ from pyspark.storagelevel import StorageLevel
 from tidewell.llm.common import UPPER, cut, shuffle_partitions, stored
 
 BLANKS = "\t\x0b\x0c\r"
+#: Blanks, and what ``lower`` may change besides A-Z: letters with a lower form, and those that a newer Unicode may give one.
+ODD = r"[\p{IsUppercase}\p{Lt}\p{Cn}\x09\x0B\x0C\x0D&&[^A-Z]]"
 #: Words are counted in 2 ** BITS buckets of their hash.
 BITS = 17
-LOW = (1 << 56) - 1
+#: Sets of more words than this have two further sketches of 64 bits, since one alone fills up.
+LONG = 90
+#: Sets that hold one of more rare words than this are first held against a few others of that word.
+HOT = 256
+POSTING = ("sid", "at", "b", "b2", "b3")
 #: Rows of one or two longs that are sent to every task; beyond this the rows are shuffled to them.
 BROADCAST_ROWS = 400_000
 
 
-def _plain(text: Column) -> Column:
-    """A-Z lower-cased and blanks other than newlines made spaces; ASCII without such blanks goes a shorter way."""
-    simple = F.octet_length(text) == F.length(text)
+def _plain(line: Column) -> Column:
+    """A-Z lower-cased and blanks made spaces; lines in which ``lower`` changes nothing else go a shorter way."""
+    simple = F.octet_length(line) == F.length(line)
     for c in BLANKS:
-        simple = simple & ~F.contains(text, F.lit(c))
-    return F.when(simple, F.lower(text)).otherwise(F.translate(text, UPPER + BLANKS, UPPER.lower() + " " * len(BLANKS)))
+        simple = simple & ~F.contains(line, F.lit(c))
+    simple = simple | ~F.regexp_like(line, F.lit(ODD))
+    return F.when(simple, F.lower(line)).otherwise(F.translate(line, UPPER + BLANKS, UPPER.lower() + " " * len(BLANKS)))
 
 
 def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -76,15 +83,22 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 def _lines(rows: DataFrame, bits: int) -> DataFrame:
     """pos (rid and line number from 0) and line of each line that holds a word."""
-    each = rows.select("rid", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
-    return each.where(F.trim("line") != "").select(F.shiftleft("rid", bits).bitwiseOR(F.col("line_no").cast("long")).alias("pos"), "line")
+    each = rows.select("rid", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(BLANKS + " ")) != "")
+    return each.select(F.shiftleft("rid", bits).bitwiseOR(F.col("line_no").cast("long")).alias("pos"), _plain(F.col("line")).alias("line"))
+
+
+def _bucket(word: Column) -> Column:
+    return F.shiftrightunsigned(F.hash(word), 32 - BITS)
 
 
 def _classes(rows: DataFrame) -> Column:
-    """Each bucket's frequency class, 0 (rare) to 31, in a key's upper bits: 2 ** BITS numbers however large the table."""
-    words = rows.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    buckets = words.select(F.shiftrightunsigned(F.xxhash64("word"), 64 - BITS).cast("int").alias("bucket"))
-    counted = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    """Each bucket's frequency class, 0 (rare) to 31, in a key's upper bits: 2 ** BITS numbers however large the table.
+
+    The classes only order the words, so ``lower`` will do here for letters other than A-Z.
+    """
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("word"))
+    counted = cut(words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     usual = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << BITS) + 1
     rank = F.greatest(F.lit(0), F.least(F.lit(31), F.lit(8) + F.round(F.log2((F.col("n") + 1) / F.lit(usual)) * 2))).cast("int")
     least = max(0, min(31, 8 + round(2 * math.log2(1 / usual))))
@@ -97,31 +111,66 @@ def _classes(rows: DataFrame) -> Column:
 
 def _keys(line: Column, classes: Column) -> Column:
     """The sorted sort keys of a line's distinct words; each stands for its word."""
-    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
-    known = F.array_remove(hashes, F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(known, lambda h: F.get(classes, F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
+
+    def key(w: Column) -> Column:
+        # never null, which lets the array be sorted as plain numbers
+        return F.coalesce(F.get(classes, _bucket(w)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, " "), key)), key(F.lit(""))))
+
+
+def _sketch(keys: Column, shift: int, part: int | None = None) -> Column:
+    """Parities of how many keys have each value of the six bits from ``shift`` on; ``part``: of the keys with this lowest bit only."""
+
+    def add(a: Column, k: Column) -> Column:
+        with_k = a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, shift).bitwiseAND(F.lit(63)).cast("int")))
+        return with_k if part is None else F.when(k.bitwiseAND(F.lit(1)) == part, with_k).otherwise(a)
+
+    return F.aggregate(keys, F.lit(0).cast("long"), add)
 
 
-def _close(n: Column, i: Column, b: Column, m: Column, j: Column, c: Column, num: int, den: int) -> Column:
-    """Whether two postings (size, place, sketch) pass the positional, length and sketch filters."""
+def _close(num: int, den: int) -> Column:
+    """Whether two postings (at, b, b2, b3 and the same with e_ before) pass the positional, length and sketch filters."""
+    (n, i), (m, j) = _split(F.col("at")), _split(F.col("e_at"))
     need = F.floor(((n + m) * num + num + den - 1) / F.lit(num + den))
-    return (F.least(n - i, m - j) >= need) & (F.bit_count(b.bitwiseXOR(c)) <= n + m - 2 * need)
+    apart = lambda b: F.bit_count(F.col(b).bitwiseXOR(F.col(f"e_{b}")))
+    near = (F.least(n - i, m - j) >= need) & (apart("b") <= n + m - 2 * need)
+    return near & ((n <= LONG) | (m <= LONG) | (apart("b2") + apart("b3") <= n + m - 2 * need))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which was written before, marked to be sent to every task if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
-    """The later ``sid`` of the pairs (sid, e) that really are similar; words are read again for their lines only."""
-    pairs = cut(pairs.distinct())
+    """The later ``sid`` of the pairs (sid, e, apart) that really are similar; words are read again for their lines only.
+
+    Each set is first held against the earlier one whose sketch is the least apart, and
+    only those that this does not settle against the others.
+    """
+    pairs = stored(pairs.distinct())
     used = cut(pairs.select("sid").unionByName(pairs.select(F.col("e").alias("sid"))).distinct())
-    sized = F.broadcast if used.count() <= BROADCAST_ROWS else lambda df: df
-    documents = used.select(F.shiftright("sid", bits).alias("rid")).distinct()
-    lines = _lines(rows.select("rid", "text").join(sized(documents), "rid", "left_semi"), bits)
-    found = stored(lines.join(sized(used), lines["pos"] == used["sid"], "left_semi"))
+    documents = cut(used.select(F.shiftright("sid", bits).alias("rid")).distinct())
+    lines = _lines(rows.select("rid", "text").join(_small(documents), "rid", "left_semi"), bits)
+    found = stored(lines.join(_small(used), lines["pos"] == used["sid"], "left_semi"))
+    nearest = pairs.groupBy("sid").agg(F.min(F.struct("apart", "e")).alias("best")).select("sid", F.col("best.e").alias("e"))
+    settled = cut(_alike(nearest, found, num, den))
+    left = pairs.select("sid", "e").join(_small(settled), "sid", "left_anti").join(nearest, ["sid", "e"], "left_anti")
+    return cut(settled.unionByName(_alike(left, found, num, den).distinct()))
+
+
+def _alike(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``sid`` of the pairs (sid, e) whose lines in ``found`` are similar."""
     # lines travel as text, which is far smaller than arrays of their words
     later, earlier = (found.select(F.col("pos").alias(at), F.col("line").alias(x)) for at, x in (("sid", "line"), ("e", "e_line")))
-    words = [F.array_distinct(F.array_remove(F.split(x, " "), "")).alias(w) for x, w in (("line", "words"), ("e_line", "e_words"))]
-    both = pairs.join(later, "sid").join(earlier, "e").select("sid", *words)
-    similar = F.size(F.array_intersect("words", "e_words")) * (num + den) >= num * (F.size("words") + F.size("e_words"))
-    return cut(both.select("sid", similar.alias("similar")).where("similar").select("sid").distinct())
+    words = {x: F.array_distinct(F.array_remove(F.split(x, " "), "")) for x in ("line", "e_line")}
+    # hashes of words tell most pairs apart; the words themselves are held against each other for the rest
+    hashes = {x: F.array_distinct(F.transform(F.array_remove(F.split(x, " "), ""), lambda w: F.xxhash64(w))) for x in words}
+    enough = lambda w: F.size(F.array_intersect(*w.values())) * (num + den) >= num * (F.size(w["line"]) + F.size(w["e_line"]))
+    both = pairs.join(later, "sid").join(earlier, "e").select("sid", F.when(enough(hashes), enough(words)).otherwise(False).alias("similar"))
+    # written before they are chosen from, else the filter would work the words out once more
+    return cut(both).where("similar").select("sid")
 
 
 def _gone(rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
@@ -130,15 +179,15 @@ def _gone(rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     keyed = _lines(rows, bits).select("pos", _keys(F.col("line"), classes).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.floor((n * num + den - 1) / F.lit(den)).cast("int") + 1)
-    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    wide = {f"b{p + 2}": F.when(n > LONG, _sketch(F.col("keys"), 1, p)).otherwise(F.lit(0).cast("long")) for p in (0, 1)}
     tokens = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    placed = stored(keyed.select("pos", F.xxhash64("keys").alias("s"), n.alias("n"), sketch.alias("b"), tokens.alias("tokens")))
+    placed = stored(keyed.select("pos", F.xxhash64("keys").alias("s"), n.alias("n"), _sketch(F.col("keys"), 0).alias("b"), *(x.alias(c) for c, x in wide.items()), tokens.alias("tokens")))
     # one row per set, known by the hash of its keys, its size and its sketch, and named by its first position;
     # a set below this size has no partner but itself
-    sets = placed.where(F.col("n") * den >= num * (F.col("n") + 1)).groupBy("s", "n", "b", "tokens").agg(F.min("pos").alias("sid"))
-    postings = sets.select("sid", "n", "b", F.posexplode("tokens").alias("i", "token"))
+    sets = placed.where(F.col("n") * den >= num * (F.col("n") + 1)).groupBy("s", "n", "b", "b2", "b3", "tokens").agg(F.min("pos").alias("sid"))
+    postings = sets.select("sid", "n", "b", "b2", "b3", F.posexplode("tokens").alias("i", "token"))
     size = F.shiftleft(F.least("i", F.lit(1 << 20)).cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    dealt = postings.select("token", "sid", "b", size.alias("at")).repartition(shuffle_partitions(spark), "token").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = postings.select("token", "sid", "b", "b2", "b3", size.alias("at")).repartition(shuffle_partitions(spark), "token").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         similar = _similar(dealt, rows, bits, num, den)
     finally:
@@ -155,24 +204,36 @@ def _split(at: Column) -> tuple[Column, Column]:
 
 def _similar(dealt: DataFrame, rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     """The ``sid`` of each set that an earlier set is similar to."""
+    hot = cut(dealt.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("token"))
+    if hot.isEmpty():
+        return _verified(_near(dealt, dealt, num, den), rows, bits, num, den)
+    # words that are not hot keep their place; only the postings of hot ones travel again
+    hot = _small(hot)
+    crowded = dealt.join(hot, "token", "left_semi")
+    settled = _verified(_first_pairs(crowded, num, den), rows, bits, num, den)
+    known = _small(settled)
+    cold = dealt.join(hot, "token", "left_anti")
+    pairs = _near(cold, cold, num, den).unionByName(_near(crowded.join(known, "sid", "left_anti"), crowded, num, den))
+    return cut(settled.unionByName(_verified(pairs.join(known, "sid", "left_anti"), rows, bits, num, den)))
+
+
+def _first_pairs(crowded: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (sid, e, apart) of each set with the first of those that share a word and with the two before it."""
     order = Window.partitionBy("token").orderBy("sid")
-    row = F.struct("sid", "b", "at")
-    some = dealt.withColumns({"e0": F.first(row).over(order), "e1": F.lag(row, 1).over(order), "e2": F.lag(row, 2).over(order)})
-    own = _split(F.col("at"))
-
-    def close(e: str) -> Column:
-        n, i = _split(F.col(f"{e}.at"))
-        return (F.col(f"{e}.sid") < F.col("sid")) & _close(*own, F.col("b"), n, i, F.col(f"{e}.b"), num, den)
-
-    near = F.array_compact(F.array(*(F.when(close(e), F.col(f"{e}.sid")) for e in ("e0", "e1", "e2"))))
-    pairs = some.select("sid", F.explode(near).alias("e"))
-    settled = _verified(pairs, rows, bits, num, den)
-    known = F.broadcast(settled) if settled.count() <= BROADCAST_ROWS else settled
-    other = dealt.select(F.col("token").alias("e_token"), F.col("sid").alias("e"), F.col("b").alias("e_b"), F.col("at").alias("e_at"))
-    n, i = _split(F.col("e_at"))
-    near = _close(*own, F.col("b"), n, i, F.col("e_b"), num, den)
-    rest = dealt.join(known, "sid", "left_anti").join(other, (F.col("token") == F.col("e_token")) & (F.col("e") < F.col("sid")) & near).select("sid", "e")
-    return cut(settled.unionByName(_verified(rest, rows, bits, num, den)))
+    row = F.struct(*(F.col(c).alias("e" if c == "sid" else f"e_{c}") for c in POSTING))
+    some = crowded.withColumns({"first": F.first(row).over(order), "last": F.lag(row, 1).over(order), "last2": F.lag(row, 2).over(order)})
+    held = some.select("sid", "at", "b", "b2", "b3", F.inline(F.array_compact(F.array("first", "last", "last2"))))
+    return _passed(held, num, den)
+
+
+def _near(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (sid, e, apart) of two tables' postings of one word that pass the filters."""
+    other = earlier.select(*(F.col(c).alias("e" if c == "sid" else f"e_{c}") for c in POSTING), F.col("token").alias("e_token"))
+    return _passed(later.join(other, F.col("token") == F.col("e_token")), num, den)
+
+
+def _passed(both: DataFrame, num: int, den: int) -> DataFrame:
+    return both.where((F.col("e") < F.col("sid")) & _close(num, den)).select("sid", "e", F.bit_count(F.col("b").bitwiseXOR(F.col("e_b"))).alias("apart"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
