@@ -129,12 +129,12 @@ def _sketch(keys: Column, shift: int, part: int | None = None) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), add)
 
 
-def _close(num: int, den: int) -> Column:
-    """Whether two postings (at, b, b2, b3 and the same with e_ before) pass the positional, length and sketch filters."""
-    (n, i), (m, j) = _split(F.col("at")), _split(F.col("e_at"))
+def _close(e, num: int, den: int) -> Column:
+    """Whether a posting (sid, at, b, b2, b3) and an earlier one, whose columns ``e`` gives by these names, pass the positional, length and sketch filters."""
+    (n, i), (m, j) = _split(F.col("at")), _split(e("at"))
     need = F.floor(((n + m) * num + num + den - 1) / F.lit(num + den))
-    apart = lambda b: F.bit_count(F.col(b).bitwiseXOR(F.col(f"e_{b}")))
-    near = (F.least(n - i, m - j) >= need) & (apart("b") <= n + m - 2 * need)
+    apart = lambda b: F.bit_count(F.col(b).bitwiseXOR(e(b)))
+    near = (e("sid") < F.col("sid")) & (F.least(n - i, m - j) >= need) & (apart("b") <= n + m - 2 * need)
     return near & ((n <= LONG) | (m <= LONG) | (apart("b2") + apart("b3") <= n + m - 2 * need))
 
 
@@ -220,20 +220,18 @@ def _similar(dealt: DataFrame, rows: DataFrame, bits: int, num: int, den: int) -
 def _first_pairs(crowded: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (sid, e, apart) of each set with the first of those that share a word and with the two before it."""
     order = Window.partitionBy("token").orderBy("sid")
-    row = F.struct(*(F.col(c).alias("e" if c == "sid" else f"e_{c}") for c in POSTING))
+    row = F.struct(*POSTING)
     some = crowded.withColumns({"first": F.first(row).over(order), "last": F.lag(row, 1).over(order), "last2": F.lag(row, 2).over(order)})
-    held = some.select("sid", "at", "b", "b2", "b3", F.inline(F.array_compact(F.array("first", "last", "last2"))))
-    return _passed(held, num, den)
+    # held against each other before they become rows, so rows are no more than the pairs that pass
+    passed = [F.when(_close(lambda c, x=x: F.col(x)[c], num, den), F.struct(F.col(x)["sid"].alias("e"), F.bit_count(F.col("b").bitwiseXOR(F.col(x)["b"])).alias("apart"))) for x in ("first", "last", "last2")]
+    return some.select("sid", F.inline(F.array_compact(F.array(*passed))))
 
 
 def _near(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (sid, e, apart) of two tables' postings of one word that pass the filters."""
-    other = earlier.select(*(F.col(c).alias("e" if c == "sid" else f"e_{c}") for c in POSTING), F.col("token").alias("e_token"))
-    return _passed(later.join(other, F.col("token") == F.col("e_token")), num, den)
-
-
-def _passed(both: DataFrame, num: int, den: int) -> DataFrame:
-    return both.where((F.col("e") < F.col("sid")) & _close(num, den)).select("sid", "e", F.bit_count(F.col("b").bitwiseXOR(F.col("e_b"))).alias("apart"))
+    other = earlier.select(*(F.col(c).alias(f"e_{c}") for c in ("token", *POSTING)))
+    both = later.join(other, (F.col("token") == F.col("e_token")) & _close(lambda c: F.col(f"e_{c}"), num, den))
+    return both.select("sid", F.col("e_sid").alias("e"), F.bit_count(F.col("b").bitwiseXOR(F.col("e_b"))).alias("apart"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
